@@ -133,11 +133,11 @@ def chunk_holdout(spark, sf_dir):
 @query(
     "batch_assign",
     f"""WITH {t.SCORED}, numbered AS (
-  SELECT case_id, (row_number() OVER (ORDER BY case_id) - 1) // 4096 AS batch FROM scored)
-SELECT * FROM numbered WHERE batch < (SELECT count(*) // 4096 FROM scored)""",
+  SELECT case_id, (row_number() OVER (ORDER BY case_id) - 1) // 512 AS batch FROM scored)
+SELECT * FROM numbered WHERE batch < (SELECT count(*) // 512 FROM scored)""",
 )
 def batch_assign(spark, sf_dir):
-    return ordering.assign_batches(order_rows(spark, sf_dir).select("case_id"), 4096, drop_last=True)
+    return ordering.assign_batches(order_rows(spark, sf_dir).select("case_id"), 512, drop_last=True)
 
 
 @query(

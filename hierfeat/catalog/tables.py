@@ -129,7 +129,10 @@ def reader(spark: SparkSession, sf_dir: str):
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with time axis, class, a coarse score (so there are ties) and an energy."""
+    """One row per order with time axis, class, a coarse score (so there are ties) and an energy.
+
+    The energy is whole cents over a power of two, so its sums are exact.
+    """
     price = F.col("o_totalprice")
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("case_id"),
@@ -137,7 +140,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         month_of(F.col("o_orderdate")).alias("MONTH"),
         (F.col("o_orderstatus") == "F").cast("int").alias("target"),
         (F.floor(price / 600.0) / 1000.0).alias("score"),
-        (-price / 100000.0).alias("energy"),
+        (-cents("o_totalprice") / 1048576.0).alias("energy"),
         F.col("o_orderstatus").alias("status"),
     )
 
@@ -148,7 +151,7 @@ SCORED = """scored AS (
          CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS MONTH,
          CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target,
          floor(o_totalprice / 600.0::DOUBLE) / 1000.0::DOUBLE AS score,
-         -o_totalprice / 100000.0::DOUBLE AS energy,
+         -round(o_totalprice * 100) / 1048576.0::DOUBLE AS energy,
          o_orderstatus AS status
   FROM orders)"""
 
