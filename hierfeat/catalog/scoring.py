@@ -122,11 +122,10 @@ ENCODED = (
 )
 
 
-def encoded_lines(spark, sf_dir):
+def scaled_lines(spark, sf_dir):
     lines = t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *MEASURES)
     scaler = ScalerModel.fit(lines, MEASURES)
-    rows = lines.select("l_orderkey", "l_linenumber", "l_returnflag", scaled_vector(scaler).alias("x"))
-    return network.apply_network(rows, encoder(), "x", "z", [*KEEP.split(", "), "x"])
+    return lines.select("l_orderkey", "l_linenumber", "l_returnflag", scaled_vector(scaler).alias("x"))
 
 
 @query(
@@ -134,8 +133,9 @@ def encoded_lines(spark, sf_dir):
     f"WITH {ENCODED} SELECT l_orderkey, l_linenumber, round(z0, 3) AS z0, round(z1, 3) AS z1, round(z2, 3) AS z2 FROM z",
 )
 def latent_encode(spark, sf_dir):
-    parts = [F.round(F.get("z", F.lit(i)), 3).alias(f"z{i}") for i in range(3)]
-    return encoded_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *parts)
+    keys = ["l_orderkey", "l_linenumber"]
+    coded = network.apply_network(scaled_lines(spark, sf_dir), encoder(), "x", "z", keys)
+    return coded.select(*keys, *[F.round(F.get("z", F.lit(i)), 3).alias(f"z{i}") for i in range(3)])
 
 
 @query(
@@ -146,10 +146,10 @@ def latent_encode(spark, sf_dir):
     "SELECT count(*) AS n, round(avg(e), 5) AS mse, round(avg(e * w), 5) AS weighted_mse FROM e",
 )
 def recon_error(spark, sf_dir):
-    decoder = network.Network([network.linear(DECODE, DECODE_BIAS)])
-    rows = network.apply_network(encoded_lines(spark, sf_dir), decoder, "z", "x_hat")
-    weighted = add_class_weights(rows, "l_returnflag")
-    return rounded(evaluate.reconstruction_error(weighted, "x", "x_hat", "weight"), ["mse", "weighted_mse"], 5)
+    whole = network.Network([*encoder().layers, network.linear(DECODE, DECODE_BIAS)])
+    weighted = add_class_weights(scaled_lines(spark, sf_dir), "l_returnflag").select("x", "weight")
+    rows = network.apply_network(weighted, whole, "x", "x_hat", ["x", "weight"])
+    return rounded(evaluate.reconstruction_error(rows, "x", "x_hat", "weight"), ["mse", "weighted_mse"], 5)
 
 
 WEEKLY = """weekly AS (

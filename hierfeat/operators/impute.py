@@ -17,10 +17,10 @@ from hierfeat.spec import CASE, GROUP1, GROUP2, MISSING, NULL_SUFFIX, TARGET, WE
 logger = logging.getLogger(__name__)
 
 NOT_FEATURES = (CASE, WEEK, TARGET, GROUP1, GROUP2)
-# Columns with few values use a literal map, those up to BROADCAST_LEVELS a broadcast
-# join, the rest a shuffled join.
-LITERAL_LEVELS = 64
-BROADCAST_LEVELS = 100_000
+# Columns with few short values use a literal map, those within the next bounds a
+# broadcast join, the rest a shuffled join.
+LITERAL_LEVELS, LITERAL_BYTES = 64, 10_000
+BROADCAST_LEVELS, BROADCAST_BYTES = 100_000, 64 * 2**20
 # A value above this share of the rows is hot in a shuffled join; at most 1 / share exist.
 HOT_VALUE_SHARE = 0.01
 UNSEEN = 1
@@ -67,17 +67,28 @@ def encode_counts(df: DataFrame, freqs: DataFrame, columns: list[str], spread: C
     if not columns:
         return df
     sizes = {
-        r["col"]: (r["levels"], r["total"])
+        r["col"]: r
         for r in freqs.filter(F.col("col").isin(columns))
         .groupBy("col")
-        .agg(F.count(F.lit(1)).alias("levels"), F.sum("n").alias("total"))
+        .agg(
+            F.count(F.lit(1)).alias("levels"),
+            F.sum("n").alias("total"),
+            F.sum(F.octet_length("value")).alias("bytes"),
+        )
         .collect()
     }
-    small = [c for c in columns if sizes.get(c, (0, 0))[0] <= LITERAL_LEVELS]
-    large = [c for c in columns if sizes.get(c, (0, 0))[0] > BROADCAST_LEVELS]
+    small, large = [], []
+    for c in columns:
+        levels, size = (sizes[c]["levels"], sizes[c]["bytes"]) if c in sizes else (0, 0)
+        if levels <= LITERAL_LEVELS and size <= LITERAL_BYTES:
+            small.append(c)
+        elif levels > BROADCAST_LEVELS or size > BROADCAST_BYTES:
+            large.append(c)
     wanted = F.col("col").isin(small)
     for c in large:
-        wanted = wanted | ((F.col("col") == c) & (F.col("n") > HOT_VALUE_SHARE * sizes[c][1]))
+        # Long hot values are left to the skew handling of the join.
+        hot = (F.col("n") > HOT_VALUE_SHARE * sizes[c]["total"]) & (F.octet_length("value") <= LITERAL_BYTES)
+        wanted = wanted | ((F.col("col") == c) & hot)
     known: dict[str, dict[str, int]] = {}
     for r in freqs.filter(wanted).collect():
         known.setdefault(r["col"], {})[r["value"]] = r["n"]

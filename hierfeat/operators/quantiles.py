@@ -34,11 +34,13 @@ def quantiles(
     fractions: Sequence[float],
     method: str = "nearest",
     accuracy: int = ACCURACY,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Exact quantiles per group, as columns ``q0, q1, …`` next to the count ``n``.
 
-    Meant for few groups with many rows each (columns of a table, hot keys): the
-    brackets are broadcast, one row per group. Nulls are left out, NaN sorts last.
+    Meant for groups with many rows each (columns of a table, hot keys). The brackets,
+    one row per group, are broadcast when the caller knows the groups to be few. Nulls
+    are left out, NaN sorts last.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
@@ -68,7 +70,7 @@ def quantiles(
     for g in groups:
         equal = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
         same = equal if same is None else same & equal
-    joined = rows.join(F.broadcast(brackets), same, "inner")
+    joined = rows.join(F.broadcast(brackets) if few_groups else brackets, same, "inner")
 
     v = F.col("_v")
     inside = F.lit(False)
@@ -130,7 +132,10 @@ def column_quantiles(
 
     A column without values has no row.
     """
-    return quantiles(long_numeric(df, [], columns), ["col"], "value", fractions, method, accuracy)
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("_pos", "value")
+    found = quantiles(df.select(cells), ["_pos"], "value", fractions, method, accuracy)
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("_pos")).alias("col")
+    return found.select(name, "n", *[f"q{i}" for i in range(len(fractions))])
 
 
 def list_quantile(values: Column, q: float, method: str = "nearest") -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from hierfeat.functions.missing import nan_as_null
 from hierfeat.operators.quantiles import list_quantile, long_numeric, quantiles
-from hierfeat.operators.skew import hot_keys, split_hot
+from hierfeat.operators.skew import HotKeys, find_hot_keys, split_hot
 from hierfeat.spec import CASE, FLAG_SUFFIX, GROUP1, KEYS
 
 NUMERIC_STATS = ("max", "min", "mean", "std", "iqr")
+DETECT = "detect"
 CATEGORY_STATS = ("last", "first", "mode", "mode_count", "last_count", "first_count", "n_modes")
 
 
@@ -79,13 +80,14 @@ def rollup_numeric(
     flags: Sequence[str] = (),
     iqr: str | None = "nearest",
     nan_policy: str = "as_null",
-    hot: DataFrame | None = None,
+    hot: HotKeys | str | None = DETECT,
 ) -> DataFrame:
     """Max, min, mean, sample std and interquartile range per key; flags keep their maximum.
 
     All but the range merge in constant space. The range needs the sorted values of a
-    group, so ordinary groups sort theirs in the same aggregation, and hot keys
-    (``hot``, a bounded list) go through exact quantiles spread over the cluster.
+    group, so ordinary groups sort theirs in the same aggregation, and hot keys go
+    through exact quantiles spread over the cluster. ``hot`` lists the hot keys, None
+    says there are none, and by default they are looked for in ``df``.
     """
     keys = list(keys)
     values = {c: _value(df, c, nan_policy) for c in columns}
@@ -104,13 +106,17 @@ def rollup_numeric(
     for c, v in values.items():
         ordered = F.sort_array(F.collect_list(v.cast("double")))
         ranges.append((list_quantile(ordered, 0.75, iqr) - list_quantile(ordered, 0.25, iqr)).alias(f"{c}_iqr"))
+    if isinstance(hot, str):
+        hot = find_hot_keys(df.select(*keys), keys, len(columns))
+    if hot is None:
+        return df.groupBy(*keys).agg(*merged, *ranges)
+
     names = [*keys, *flags, *[f"{c}_{s}" for c in columns for s in NUMERIC_STATS]]
-    hot = hot_keys(df.select(*keys), keys) if hot is None else hot
     ordinary, heavy = split_hot(df, keys, hot)
     light = ordinary.groupBy(*keys).agg(*merged, *ranges).select(*[f"`{n}`" for n in names])
-
     long = long_numeric(heavy.select(*keys, *[v.alias(c) for c, v in values.items()]), keys, columns)
-    spread = quantiles(long, [*keys, "col"], "value", [0.25, 0.75], iqr).groupBy(*keys).agg(
+    ends = quantiles(long, [*keys, "col"], "value", [0.25, 0.75], iqr, few_groups=hot.listed)
+    spread = ends.groupBy(*keys).agg(
         *[F.max(F.when(F.col("col") == c, F.col("q1") - F.col("q0"))).alias(f"{c}_iqr") for c in columns]
     )
     loaded = heavy.groupBy(*keys).agg(*merged).join(spread, keys, "left").select(*[f"`{n}`" for n in names])
@@ -176,7 +182,7 @@ def rollup_history(
     order: Sequence[str] = (GROUP1,),
     iqr: str | None = "nearest",
     nan_policy: str = "as_null",
-    hot: DataFrame | None = None,
+    hot: HotKeys | str | None = DETECT,
 ) -> DataFrame:
     """Depth 1 to one row per entity, the statistics chosen by column type."""
     keys = list(keys)

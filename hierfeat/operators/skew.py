@@ -3,29 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this many rows, and above this share of all rows. The share
-# bounds the list of hot keys: at most 1 / HOT_SHARE of them can exist.
-HOT_ROWS = 1_000_000
-HOT_SHARE = 1e-5
+from hierfeat.session import checkpointed
 
+# Values of one group that one task may hold in memory, over all columns.
+HOT_CELLS = 1_000_000
+# Hot keys that are listed on the driver and broadcast; a longer list is joined shuffled.
+MOST_LISTED = 100_000
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
-    """Keys whose groups are too large for one task; at most ``1 / share`` rows."""
-    size = "_rows"
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    return counts.filter(F.col(size) > F.greatest(F.lit(rows), total * F.lit(share))).select(*keys)
 
+@dataclass
+class HotKeys:
+    """Keys of large groups. ``listed`` ones are few enough to broadcast."""
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, and rows of hot keys. The broadcast list is bounded, see above."""
-    listed = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    table: DataFrame
+    listed: bool
+
+
+def find_hot_keys(
+    df: DataFrame, keys: Sequence[str], columns: int = 1, cells: int = HOT_CELLS, most: int = MOST_LISTED
+) -> HotKeys | None:
+    """Keys whose groups exceed ``cells`` values in ``columns`` columns; None without any.
+
+    One job that counts the key columns, combined before it shuffles.
+    """
+    size = F.count(F.lit(1)).alias("_rows")
+    found = df.groupBy(*keys).agg(size).filter(F.col("_rows") > cells // max(1, columns)).select(*keys)
+    listed = found.limit(most + 1).collect()
+    if not listed:
+        return None
+    if len(listed) <= most:
+        return HotKeys(df.sparkSession.createDataFrame(listed, found.schema), True)
+    return HotKeys(checkpointed(found), False)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys."""
+    table = hot.table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    table = F.broadcast(table) if hot.listed else table
     condition = None
     for key in keys:
         same = F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
         condition = same if condition is None else condition & same
-    return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
+    return df.join(table, condition, "left_anti"), df.join(table, condition, "left_semi")

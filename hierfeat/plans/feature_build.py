@@ -17,9 +17,9 @@ from hierfeat.operators.assemble import (
     restrict,
 )
 from hierfeat.operators.impute import Imputer, ImputerModel
-from hierfeat.operators.rollup import rollup_children, rollup_history
+from hierfeat.operators.rollup import rollup_children, rollup_history, split_columns
 from hierfeat.operators.sampling import stratified_sample
-from hierfeat.operators.skew import hot_keys
+from hierfeat.operators.skew import find_hot_keys
 from hierfeat.session import checkpointed
 from hierfeat.sources.export import export_chunks, export_profile, export_table
 from hierfeat.sources.shards import scan_table
@@ -38,20 +38,26 @@ def assemble_matrix(
     ``ids`` restricts every table before it is rolled up; without it nothing is dropped.
     """
 
+    def restricted(df: DataFrame) -> DataFrame:
+        return df if ids is None else restrict(df, ids)
+
     def rows(table: TableSpec) -> DataFrame:
-        df = read(table.name)
-        return add_joined_flag(df if ids is None else restrict(df, ids), table.name)
+        return add_joined_flag(restricted(read(table.name)), table.name)
 
-    base = read(spec.base)
-    base = base if ids is None else restrict(base, ids)
+    base = restricted(read(spec.base))
     children = defaultdict(list)
     for table in spec.at_depth(2):
         children[table.parent].append(rollup_children(rows(table), order=table.order_columns))
     joined = []
     for table in spec.at_depth(1):
-        history = attach_children(rows(table), children[table.name])
-        # Counted on the stored table: one column, no joins.
-        hot = hot_keys(read(table.name).select(CASE), [CASE]) if iqr else None
+        stored = read(table.name)
+        history = add_joined_flag(restricted(stored), table.name)
+        history = attach_children(history, children[table.name])
+        hot = None
+        if iqr:
+            # Counted on the stored table: one column, no joins.
+            _, numeric, _ = split_columns(history)
+            hot = find_hot_keys(stored.select(CASE), [CASE], len(numeric))
         joined.append(rollup_history(history, order=table.order_columns, iqr=iqr, hot=hot))
     joined += [rows(table) for table in spec.at_depth(0)]
     return fill_joined_flags(join_to_base(base, joined))

@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # collect_list/percentile keep hashing instead of sorting after 128 groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 

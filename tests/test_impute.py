@@ -80,11 +80,14 @@ def test_a_column_of_nulls_gets_zero(spark):
     assert math.isclose(Imputer(medians="approx").fit(df.fillna(3.0)).medians["x"], 3.0)
 
 
-@pytest.mark.parametrize(("literal", "broadcast"), [(64, 100_000), (2, 100_000), (2, 3)])
-def test_every_lookup_gives_the_same_counts(spark, monkeypatch, literal, broadcast):
+@pytest.mark.parametrize(
+    ("literal", "broadcast", "size"), [(64, 100_000, 2**20), (2, 100_000, 2**20), (2, 3, 2**20), (2, 100_000, 5)]
+)
+def test_every_lookup_gives_the_same_counts(spark, monkeypatch, literal, broadcast, size):
     """Few values, many values, and very many with a hot one and nulls."""
     monkeypatch.setattr(impute, "LITERAL_LEVELS", literal)
     monkeypatch.setattr(impute, "BROADCAST_LEVELS", broadcast)
+    monkeypatch.setattr(impute, "BROADCAST_BYTES", size)
     rows = [(i, None if i % 10 == 0 else ("hot" if i % 3 == 0 else f"v{i % 7}"), "x") for i in range(300)]
     df = spark.createDataFrame(rows, "id int, a string, b string").repartition(3)
     counts = {}

@@ -13,6 +13,7 @@ from hierfeat.operators.rollup import (
     rollup_numeric,
     split_columns,
 )
+from hierfeat.operators.skew import find_hot_keys
 
 
 def test_columns_by_kind(spark):
@@ -62,18 +63,20 @@ def test_hot_keys_give_the_same_numbers(spark, method):
     rng = random.Random(3)
     rows = [(1 if i % 3 else i % 17, rng.choice([None, rng.gauss(0, 100)]), rng.randint(0, 5)) for i in range(900)]
     df = spark.createDataFrame(rows, "case_id int, a double, b int").repartition(5)
-    nothing = df.select("case_id").limit(0)
-    everything = df.select("case_id").distinct()
-    some = spark.createDataFrame([(1,)], "case_id int")
+    nothing = None
+    everything = find_hot_keys(df, ["case_id"], cells=0)
+    many = find_hot_keys(df, ["case_id"], cells=0, most=3)
+    some = find_hot_keys(df, ["case_id"], columns=2, cells=400)
+    assert everything.listed and not many.listed and some.table.count() == 1
     results = [
         records(
             rollup_numeric(df, ["case_id"], ["a", "b"], iqr=method, hot=hot).withColumns(
                 {c: F.round(c, 8) for c in ("a_mean", "a_std", "a_iqr", "b_mean", "b_std", "b_iqr")}
             )
         )
-        for hot in (nothing, everything, some)
+        for hot in (nothing, everything, many, some)
     ]
-    assert results[0] == results[1] == results[2]
+    assert results[0] == results[1] == results[2] == results[3]
     for row in results[0]:
         a = [x for k, x, _ in rows if k == row["case_id"] and x is not None]
         if a and method == "linear":

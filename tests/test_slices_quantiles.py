@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hierfeat.operators import slices
 from hierfeat.operators.quantiles import column_quantiles, quantiles
-from hierfeat.operators.skew import hot_keys, split_hot
+from hierfeat.operators.skew import find_hot_keys, split_hot
 
 
 def make(spark, rows, schema):
@@ -83,10 +83,12 @@ def test_nan_sorts_last_and_null_is_left_out(spark, accuracy):
     assert math.isnan(row.q3)
 
 
-def test_hot_keys_are_split_exactly(spark):
+@pytest.mark.parametrize("most", [100, 1])
+def test_hot_keys_are_split_exactly(spark, most):
     df = make(spark, [(1, i) for i in range(50)] + [(None, i) for i in range(40)] + [(2, 0), (3, 0)], "k int, v int")
-    hot = hot_keys(df, ["k"], rows=20, share=0.0)
+    hot = find_hot_keys(df, ["k"], columns=2, cells=40, most=most)
+    assert hot.listed == (most > 1)
+    assert sorted(str(r.k) for r in hot.table.collect()) == ["1", "None"]
     ordinary, heavy = split_hot(df, ["k"], hot)
-    assert sorted(str(r.k) for r in hot.collect()) == ["1", "None"]
     assert ordinary.count() == 2 and heavy.count() == 90
-    assert records(hot_keys(df, ["k"], rows=1, share=0.5)) == [{"k": 1}]
+    assert find_hot_keys(df, ["k"], cells=50) is None
