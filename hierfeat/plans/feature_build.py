@@ -79,8 +79,11 @@ class FeatureBuild:
 
         ids = None
         if not config.is_inference and 0.0 < config.sample_ratio < 1.0:
-            ids = stratified_sample(
-                read(spec.base), config.sample_ratio, random_state=config.seed, exact=config.exact_sample
+            # Every table is restricted by them; drawn once.
+            ids = checkpointed(
+                stratified_sample(
+                    read(spec.base), config.sample_ratio, random_state=config.seed, exact=config.exact_sample
+                )
             )
         state = f"{config.artifact_dir}/imputer_state"
         if config.is_inference:
