@@ -54,8 +54,8 @@ def assign_batches(
 def assign_workers(df: DataFrame, workers: int, chunk: str = "chunk", name: str = "worker") -> DataFrame:
     """Contiguous shares of ``ceil(chunks / workers)`` chunks; chunk numbers start at 1."""
     _positive(workers)
-    chunks = df.agg(F.max(chunk)).scalar()
-    share = F.ceil(chunks / F.lit(workers))
+    _, chunks = chunk_span(df, chunk)
+    share = max(1, -(-chunks // workers))
     return df.withColumn(name, F.floor((F.col(chunk) - 1) / share).cast("bigint"))
 
 
@@ -67,9 +67,15 @@ def split_by_worker(df: DataFrame, workers: int, chunk: str = "chunk") -> DataFr
 
 def hold_out_last_chunk(df: DataFrame, chunk: str = "chunk") -> tuple[DataFrame, DataFrame]:
     """Train on all chunks but the last, validate on the last; a single chunk serves both."""
-    ends = df.agg(F.struct(F.min(chunk).alias("low"), F.max(chunk).alias("high")).alias("ends"))
-    low, high = ends.select("ends.low").scalar(), ends.select("ends.high").scalar()
-    return df.filter((F.col(chunk) < high) | (low == high)), df.filter(F.col(chunk) == high)
+    low, high = chunk_span(df, chunk)
+    train = df if low == high else df.filter(F.col(chunk) < high)
+    return train, df.filter(F.col(chunk) == high)
+
+
+def chunk_span(df: DataFrame, chunk: str = "chunk") -> tuple[int, int]:
+    """First and last chunk number; on stored chunks this reads no data columns."""
+    row = df.agg(F.min(chunk), F.max(chunk)).first()
+    return row[0] or 0, row[1] or 0
 
 
 def head(df: DataFrame, order: Sequence[str], n: int = 100) -> DataFrame:

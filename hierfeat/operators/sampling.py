@@ -29,9 +29,10 @@ def stratified_sample(
 ) -> DataFrame:
     """Ids of the same share of either class (0 and 1), without replacement.
 
-    ``exact`` takes ``floor(n * ratio)`` of each class, in hash order. A histogram over
-    hash slices tells which slices are taken whole; only the one slice per class that is
-    cut gets sorted. Otherwise each id is kept by its own hash, with no shuffle at all.
+    ``exact`` takes ``floor(n * ratio)`` of each class, in hash order. One job makes a
+    histogram over hash slices and finds the slice of each class in which the cut falls;
+    only that slice gets sorted. Otherwise each id is kept by its own hash, with no
+    shuffle at all.
     """
     if sample_ratio >= 1.0 or sample_ratio <= 0.0:
         logger.info("sample ratio %s: every id is kept", sample_ratio)
@@ -42,25 +43,27 @@ def stratified_sample(
     if not exact:
         return keyed.filter(below_share(F.col("_hash"), sample_ratio)).select(key)
 
-    keyed = slices.by_hash(keyed, "_hash", SLICE_DIGITS)
+    prefix = F.substring("_hash", 1, SLICE_DIGITS)
     per_class = Window.partitionBy("_class")
-    earlier = per_class.orderBy(slices.SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_class.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.floor(F.sum("_n").over(per_class) * F.lit(float(sample_ratio)))
-    takes = (
-        keyed.groupBy("_class", slices.SLICE)
+    cuts = (
+        keyed.groupBy("_class", prefix.alias("_slice"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_take", wanted - F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter(F.col("_take") > 0)
-    )
-    on = ["_class", slices.SLICE]
-    # Two classes times 16**4 slices at most.
-    whole = F.broadcast(takes.filter(F.col("_take") >= F.col("_n")).select(*on))
-    cut = F.broadcast(takes.filter(F.col("_take") < F.col("_n")).select(*on, "_take"))
-    order = Window.partitionBy(*on).orderBy("_hash", key)
-    partly = keyed.join(cut, on).withColumn("_rank", F.row_number().over(order))
-    return (
-        keyed.join(whole, on, "left_semi").select(key).union(partly.filter("_rank <= _take").select(key))
+        .filter((F.col("_take") >= 0) & (F.col("_take") < F.col("_n")))
+        .collect()
     )
+    # One cut per class: the slices below it are taken whole, by a plain filter.
+    whole, partly, take = F.lit(False), F.lit(False), F.lit(0)
+    for cut in cuts:
+        mine = F.col("_class") == cut["_class"]
+        whole = whole | (mine & (prefix < cut["_slice"]))
+        partly = partly | (mine & (prefix == cut["_slice"]))
+        take = F.when(mine, F.lit(cut["_take"])).otherwise(take)
+    rank = F.row_number().over(per_class.orderBy("_hash", key))
+    ranked = keyed.filter(partly).withColumn("_rank", rank)
+    return keyed.filter(whole).select(key).union(ranked.filter(F.col("_rank") <= take).select(key))
 
 
 def balanced_resample(

@@ -2,9 +2,9 @@
 
 A window over a whole group is one task's work, so a group holding a third of the
 table would end on one core. Here each group is cut into slices along its order:
-windows run inside a slice, slice totals are summed up over the few slices of the
-group, and both are added. Slices are a pure function of the row, so a lost
-executor recomputes the same result.
+slice totals are summed up over the few slices of the group, and windows run inside a
+slice, starting from the total before it. Slices are a pure function of the row, so a
+lost executor recomputes the same result.
 """
 
 from __future__ import annotations
@@ -67,20 +67,22 @@ def running_totals(
     ``sliced`` carries slices that follow ``order``, and ``order`` is unique in a group.
     """
     groups = list(groups)
-    before = [F.col(g) for g in groups] or [F.lit(0)]
-    within = Window.partitionBy(*groups, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*before).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-
-    offsets = sliced.groupBy(*groups, SLICE).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    offsets = offsets.select(
-        *groups, SLICE, *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums]
-    )
-    rows = sliced.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
-    joined = rows.join(_renamed(offsets, groups), _same(rows, groups), "inner")
-    return joined.select(
-        *[c for c in sliced.columns if c != SLICE],
-        *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums],
+    group = Window.partitionBy(*(groups or [F.lit(0)]))
+    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*groups, SLICE).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, -1)
+
+    totals = sliced.groupBy(*groups, SLICE).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    # What came before a slice goes in as its first row, so one window does the rest.
+    heads = totals.select(
+        *groups,
+        SLICE,
+        F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums],
     )
+    rows = sliced.withColumn("_row", F.lit(1)).withColumns({f"_{n}": c for n, c in sums.items()})
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    summed = both.withColumns({n: F.sum(f"_{n}").over(inside) for n in sums}).filter("_row = 1")
+    return summed.select(*[c for c in sliced.columns if c != SLICE], *sums)
 
 
 def row_index(
@@ -89,13 +91,3 @@ def row_index(
     """Add the 0-based position of each row in its group, consecutive over all slices."""
     return running_totals(sliced, {name: F.lit(1).cast("bigint")}, order, groups)
 
-
-def _renamed(offsets: DataFrame, groups: list[str]) -> DataFrame:
-    return offsets.withColumnsRenamed({g: f"_o_{g}" for g in [*groups, SLICE]})
-
-
-def _same(rows: DataFrame, groups: list[str]) -> Column:
-    condition = F.col(SLICE) == F.col(f"_o_{SLICE}")
-    for group in groups:
-        condition = condition & F.col(group).eqNullSafe(F.col(f"_o_{group}"))
-    return condition
