@@ -15,41 +15,59 @@ def describe(df: DataFrame, method: str = "nearest") -> DataFrame:
     Extremes of columns without numbers are in ``min_text`` and ``max_text``. NaN is a
     value here, as in the data.
     """
+    fields = list(enumerate(df.schema.fields))
+    numeric = [(i, f.name) for i, f in fields if isinstance(f.dataType, T.NumericType)]
+    parts = []
+    if numeric:
+        parts.append(_numbers(df, numeric, method))
+    if len(numeric) < len(fields):
+        parts.append(_texts(df, [(i, f) for i, f in fields if not isinstance(f.dataType, T.NumericType)]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _numbers(df: DataFrame, columns: list[tuple[int, str]], method: str) -> DataFrame:
+    entries = [
+        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("_v"))
+        for i, c in columns
+    ]
+    v = F.col("_v")
+    stats = (
+        df.select(F.inline(F.array(*entries)))
+        .groupBy("pos", "col")
+        .agg(
+            F.count(v).alias("count"),
+            F.count(F.when(v.isNull(), 1)).alias("null_count"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+        )
+    )
+    quartiles = column_quantiles(df, [c for _, c in columns], [0.25, 0.5, 0.75], method).drop("n")
+    none = F.lit(None).cast("string")
+    return stats.withColumns({"min_text": none, "max_text": none}).join(
+        quartiles.withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"}), "col", "left"
+    )
+
+
+def _texts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
     aggs, states = [], []
-    numeric = []
-    for i, field in enumerate(df.schema.fields):
+    for i, field in fields:
         col = F.col(f"`{field.name}`")
-        is_number = isinstance(field.dataType, T.NumericType)
+        ordered = not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
         aggs += [F.count(col).alias(f"_c{i}"), F.count(F.when(col.isNull(), 1)).alias(f"_z{i}")]
-        none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-        stats = {"mean": none_d, "std": none_d, "min": none_d, "max": none_d, "min_text": none_s, "max_text": none_s}
-        if is_number:
-            numeric.append(field.name)
-            v = col.cast("double")
-            aggs += [
-                F.avg(v).alias(f"_a{i}"),
-                F.stddev_samp(v).alias(f"_s{i}"),
-                F.min(v).alias(f"_l{i}"),
-                F.max(v).alias(f"_h{i}"),
-            ]
-            stats.update(mean=F.col(f"_a{i}"), std=F.col(f"_s{i}"), min=F.col(f"_l{i}"), max=F.col(f"_h{i}"))
-        elif not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        if ordered:
             aggs += [F.min(col).cast("string").alias(f"_l{i}"), F.max(col).cast("string").alias(f"_h{i}")]
-            stats.update(min_text=F.col(f"_l{i}"), max_text=F.col(f"_h{i}"))
         states.append(
             F.struct(
                 F.lit(i).alias("pos"),
                 F.lit(field.name).alias("col"),
                 F.col(f"_c{i}").alias("count"),
                 F.col(f"_z{i}").alias("null_count"),
-                *[c.alias(k) for k, c in stats.items()],
+                *[F.lit(None).cast("double").alias(s) for s in ("mean", "std", "min", "max")],
+                (F.col(f"_l{i}") if ordered else F.lit(None).cast("string")).alias("min_text"),
+                (F.col(f"_h{i}") if ordered else F.lit(None).cast("string")).alias("max_text"),
+                *[F.lit(None).cast("double").alias(s) for s in ("q25", "q50", "q75")],
             )
         )
-    wide = df.agg(*aggs).select(F.inline(F.array(*states)))
-    if not numeric:
-        none = F.lit(None).cast("double")
-        return wide.withColumns({"q25": none, "q50": none, "q75": none})
-    quartiles = column_quantiles(df, numeric, [0.25, 0.5, 0.75], method).select(
-        "col", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75")
-    )
-    return wide.join(quartiles, "col", "left")
+    return df.agg(*aggs).select(F.inline(F.array(*states)))

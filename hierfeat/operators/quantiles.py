@@ -17,12 +17,6 @@ ACCURACY = 10_000
 METHODS = ("nearest", "linear")
 
 
-def long_numeric(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key and column with the value as double."""
-    wide = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return wide.unpivot(list(keys), list(columns), "col", "value")
-
-
 def nearest_rank(n: Column, q: float) -> Column:
     return F.round((n - 1) * F.lit(float(q)), 0).cast("bigint")
 

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hierfeat.functions.missing import nan_as_null
-from hierfeat.operators.quantiles import list_quantile, long_numeric, quantiles
+from hierfeat.operators.quantiles import list_quantile, quantiles
 from hierfeat.operators.skew import HotKeys, find_hot_keys, split_hot
 from hierfeat.spec import CASE, FLAG_SUFFIX, GROUP1, KEYS
 
 NUMERIC_STATS = ("max", "min", "mean", "std", "iqr")
 DETECT = "detect"
+# More columns than this go through long form: the generated code of hundreds of
+# aggregates is slower than a few aggregates over more rows.
+WIDE_COLUMNS = 20
 CATEGORY_STATS = ("last", "first", "mode", "mode_count", "last_count", "first_count", "n_modes")
 
 
@@ -91,89 +94,141 @@ def rollup_numeric(
     """
     keys = list(keys)
     values = {c: _value(df, c, nan_policy) for c in columns}
-    merged = [F.max(f"`{f}`").alias(f) for f in flags]
-    for c, v in values.items():
-        merged += [
-            F.max(v).alias(f"{c}_max"),
-            F.min(v).alias(f"{c}_min"),
-            F.avg(v).alias(f"{c}_mean"),
-            F.stddev_samp(v).alias(f"{c}_std"),
-        ]
     if not iqr or not columns:
-        return df.groupBy(*keys).agg(*merged)
-
-    ranges = []
-    for c, v in values.items():
-        ordered = F.sort_array(F.collect_list(v.cast("double")))
-        ranges.append((list_quantile(ordered, 0.75, iqr) - list_quantile(ordered, 0.25, iqr)).alias(f"{c}_iqr"))
+        return _statistics(df, keys, values, flags, None)
     if isinstance(hot, str):
-        hot = find_hot_keys(df.select(*keys), keys, len(columns))
+        hot = find_hot_keys(df.select(*keys), keys, columns_held(len(columns)))
     if hot is None:
-        return df.groupBy(*keys).agg(*merged, *ranges)
-
-    names = [*keys, *flags, *[f"{c}_{s}" for c in columns for s in NUMERIC_STATS]]
+        return _statistics(df, keys, values, flags, iqr)
     ordinary, heavy = split_hot(df, keys, hot)
-    light = ordinary.groupBy(*keys).agg(*merged, *ranges).select(*[f"`{n}`" for n in names])
-    long = long_numeric(heavy.select(*keys, *[v.alias(c) for c, v in values.items()]), keys, columns)
-    ends = quantiles(long, [*keys, "col"], "value", [0.25, 0.75], iqr, few_groups=hot.listed)
-    spread = ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("col") == c, F.col("q1") - F.col("q0"))).alias(f"{c}_iqr") for c in columns]
-    )
-    loaded = heavy.groupBy(*keys).agg(*merged).join(spread, keys, "left").select(*[f"`{n}`" for n in names])
+    light = _statistics(ordinary, keys, values, flags, iqr)
+    ranges = _large_ranges(heavy, keys, values, iqr, hot.listed)
+    loaded = _statistics(heavy, keys, values, flags, None).join(ranges, keys, "left")
     return light.unionByName(loaded)
 
 
+def columns_held(numeric: int) -> int:
+    """Columns whose values of one group a task holds at the same time."""
+    return min(numeric, WIDE_COLUMNS)
+
+
+def _aggregates(v: Column, iqr: str | None) -> dict[str, Column]:
+    found = {"max": F.max(v), "min": F.min(v), "mean": F.avg(v), "std": F.stddev_samp(v)}
+    if iqr:
+        ordered = F.sort_array(F.collect_list(v.cast("double")))
+        found["iqr"] = list_quantile(ordered, 0.75, iqr) - list_quantile(ordered, 0.25, iqr)
+    return found
+
+
+def _statistics(
+    df: DataFrame, keys: list[str], values: dict[str, Column], flags: Sequence[str], iqr: str | None
+) -> DataFrame:
+    """Statistics of all columns; kinds with many columns in long form, the rest side by side."""
+    kinds: dict[str, list[str]] = {"bigint": [], "double": []}
+    for c in values:
+        dtype = df.schema[c].dataType
+        if not isinstance(dtype, T.DecimalType):
+            kinds["bigint" if isinstance(dtype, T.LongType) else "double"].append(c)
+    many = {kind: columns for kind, columns in kinds.items() if len(columns) > WIDE_COLUMNS}
+    apart = {c for columns in many.values() for c in columns}
+    wide = [F.max(f"`{f}`").alias(f) for f in flags]
+    for c, v in values.items():
+        if c not in apart:
+            wide += [a.alias(f"{c}_{name}") for name, a in _aggregates(v, iqr).items()]
+    parts = [df.groupBy(*keys).agg(*wide)] if wide else []
+    for kind, columns in many.items():
+        parts.append(_long_statistics(df, keys, {c: values[c] for c in columns}, kind, iqr))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.join(part, keys)
+    return result
+
+
+def _long_statistics(
+    df: DataFrame, keys: list[str], values: dict[str, Column], kind: str, iqr: str | None
+) -> DataFrame:
+    cells = F.posexplode(F.array(*[v.cast(kind) for v in values.values()])).alias("_pos", "_v")
+    found = _aggregates(F.col("_v"), iqr)
+    each = df.select(*keys, cells).groupBy(*keys, "_pos").agg(*[a.alias(name) for name, a in found.items()])
+    # One entry per column, so the list is as long as the table is wide.
+    rows = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", *found))).alias("_rows"))
+    out = []
+    for i, c in enumerate(values):
+        row = F.get("_rows", F.lit(i))
+        for name in found:
+            stat = row[name]
+            out.append((stat.cast(df.schema[c].dataType) if name in ("max", "min") else stat).alias(f"{c}_{name}"))
+    return rows.select(*keys, *out)
+
+
+def _large_ranges(
+    df: DataFrame, keys: list[str], values: dict[str, Column], iqr: str, few: bool
+) -> DataFrame:
+    cells = F.posexplode(F.array(*[v.cast("double") for v in values.values()])).alias("_pos", "_v")
+    ends = quantiles(df.select(*keys, cells), [*keys, "_pos"], "_v", [0.25, 0.75], iqr, few_groups=few)
+    entry = F.struct("_pos", (F.col("q1") - F.col("q0")).alias("iqr"))
+    ranges = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_by"))
+    return ranges.select(
+        *keys, *[F.try_element_at("_by", F.lit(i)).alias(f"{c}_iqr") for i, c in enumerate(values)]
+    )
+
+
 def rollup_categories(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """Last, first and most frequent value per key, how often each occurs, and the number of modes.
 
-    Ties for the mode go to the greatest value. Every step is a hash aggregation that
-    combines before it shuffles, and the first one spreads a large key over its values.
+    Ties for the mode go to the greatest value. The first two steps are hash aggregations
+    that combine before they shuffle and spread a large key over its values and counts.
+    What they leave of a key is small, and the rest happens in one place.
     """
     keys = list(keys)
     for c in columns:
         if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             raise ValueError(f"{c}: no first, last or mode for type {df.schema[c].dataType.simpleString()}")
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    texts = df.select(*keys, place.alias("_at"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    long = texts.unpivot([*keys, "_at"], list(columns), "_col", "_val")
-    per_value = long.groupBy(*keys, "_col", "_val").agg(
+    texts = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
+    cells = df.select(*keys, place.alias("_at"), F.posexplode(texts).alias("_pos", "_val"))
+    per_value = cells.groupBy(*keys, "_pos", "_val").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last")
     )
-    per_count = per_value.groupBy(*keys, "_col", "_n").agg(
+    per_count = per_value.groupBy(*keys, "_pos", "_n").agg(
         F.min(F.struct("_first", "_val")).alias("_first"),
         F.max(F.struct("_last", "_val")).alias("_last"),
         F.max("_val").alias("_top"),
         F.count("_val").alias("_values"),
     )
-    picks = []
-    for i, c in enumerate(columns):
-        mine = F.col("_col") == c
-        picks += [
-            F.min(F.when(mine, F.struct("_first", "_n"))).alias(f"_f{i}"),
-            F.max(F.when(mine, F.struct("_last", "_n"))).alias(f"_l{i}"),
-            F.max(F.when(mine & (F.col("_values") > 0), F.struct("_n", "_top", "_values"))).alias(f"_m{i}"),
-        ]
-    wide = per_count.groupBy(*keys).agg(*picks)
+    # Few rows of a key are left, one per count its values have; both groupings below
+    # run on this one partitioning.
+    each = (
+        per_count.repartition(*keys)
+        .groupBy(*keys, "_pos")
+        .agg(
+            F.min(F.struct("_first", "_n")).alias("f"),
+            F.max(F.struct("_last", "_n")).alias("l"),
+            F.max(F.when(F.col("_values") > 0, F.struct("_n", "_top", "_values"))).alias("m"),
+        )
+    )
+    rows = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "f", "l", "m"))).alias("_rows"))
+
+    def counted(value: Column, n: Column) -> Column:
+        return F.when(value.isNotNull(), n).otherwise(F.lit(0)).cast("bigint")
+
     out = []
     for i, c in enumerate(columns):
         kind = df.schema[c].dataType
-        first, last = F.col(f"_f{i}._first._val"), F.col(f"_l{i}._last._val")
-
-        def count_of(value: Column, n: str) -> Column:
-            return F.when(value.isNotNull(), F.col(n)).otherwise(F.lit(0)).cast("bigint")
-
+        row = F.get("_rows", F.lit(i))
+        first, last, mode = row["f"]["_first"]["_val"], row["l"]["_last"]["_val"], row["m"]
         out += [
             last.cast(kind).alias(f"{c}_last"),
             first.cast(kind).alias(f"{c}_first"),
-            F.col(f"_m{i}._top").cast(kind).alias(f"{c}_mode"),
-            F.coalesce(F.col(f"_m{i}._n"), F.lit(0)).cast("bigint").alias(f"{c}_mode_count"),
-            count_of(last, f"_l{i}._n").alias(f"{c}_last_count"),
-            count_of(first, f"_f{i}._n").alias(f"{c}_first_count"),
-            F.coalesce(F.col(f"_m{i}._values"), F.lit(0)).cast("bigint").alias(f"{c}_n_modes"),
+            mode["_top"].cast(kind).alias(f"{c}_mode"),
+            F.coalesce(mode["_n"], F.lit(0)).cast("bigint").alias(f"{c}_mode_count"),
+            counted(last, row["l"]["_n"]).alias(f"{c}_last_count"),
+            counted(first, row["f"]["_n"]).alias(f"{c}_first_count"),
+            F.coalesce(mode["_values"], F.lit(0)).cast("bigint").alias(f"{c}_n_modes"),
         ]
-    return wide.select(*keys, *out)
+    return rows.select(*keys, *out)
 
 
 def rollup_history(

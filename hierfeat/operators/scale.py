@@ -19,24 +19,15 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     Rows are partial states: :func:`merge_moments` joins those of several chunks or days
     without reading the data again.
     """
-    aggs, states = [], []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
-        aggs += [
-            F.count(v).alias(f"_n{i}"),
-            F.avg(v).alias(f"_a{i}"),
-            (F.var_pop(v) * F.count(v)).alias(f"_s{i}"),
-        ]
-        states.append(
-            F.struct(
-                F.lit(i).alias("pos"),
-                F.lit(c).alias("col"),
-                F.col(f"_n{i}").alias("n"),
-                F.col(f"_a{i}").alias("mean"),
-                F.col(f"_s{i}").alias("m2"),
-            )
-        )
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*states)))
+    entries = [
+        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("_v"))
+        for i, c in enumerate(columns)
+    ]
+    cells = df.select(*by, F.inline(F.array(*entries)))
+    v = F.col("_v")
+    return cells.groupBy(*by, "pos", "col").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")
+    )
 
 
 def merge_moments(parts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from hierfeat.operators.assemble import (
     restrict,
 )
 from hierfeat.operators.impute import Imputer, ImputerModel
-from hierfeat.operators.rollup import rollup_children, rollup_history, split_columns
+from hierfeat.operators.rollup import columns_held, rollup_children, rollup_history, split_columns
 from hierfeat.operators.sampling import stratified_sample
 from hierfeat.operators.skew import find_hot_keys
 from hierfeat.session import checkpointed
@@ -57,7 +57,7 @@ def assemble_matrix(
         if iqr:
             # Counted on the stored table: one column, no joins.
             _, numeric, _ = split_columns(history)
-            hot = find_hot_keys(stored.select(CASE), [CASE], len(numeric))
+            hot = find_hot_keys(stored.select(CASE), [CASE], columns_held(len(numeric)))
         joined.append(rollup_history(history, order=table.order_columns, iqr=iqr, hot=hot))
     joined += [rows(table) for table in spec.at_depth(0)]
     return fill_joined_flags(join_to_base(base, joined))

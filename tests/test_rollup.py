@@ -83,6 +83,27 @@ def test_hot_keys_give_the_same_numbers(spark, method):
             assert row["a_iqr"] == pytest.approx(np.quantile(a, 0.75) - np.quantile(a, 0.25), abs=1e-6)
 
 
+def test_many_columns_give_the_same_numbers(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [
+        (i % 9, rng.choice([None, rng.gauss(0, 9)]), rng.randint(0, 99), 2**60 + rng.randint(0, 9), rng.randint(0, 9))
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "case_id int, a double, b int, c bigint, d int")
+    df = df.withColumn("d", F.col("d").cast("decimal(9,2)")).withColumn("e", F.col("a").cast("float"))
+    columns = ["a", "b", "c", "d", "e"]
+
+    def rolled(width):
+        monkeypatch.setattr("hierfeat.operators.rollup.WIDE_COLUMNS", width)
+        got = rollup_numeric(df, ["case_id"], columns, hot=None)
+        names = [f"{c}_{s}" for c in columns for s in ("mean", "std", "iqr")]
+        return got.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names}).select(*sorted(got.columns))
+
+    wide, long = rolled(20), rolled(0)
+    assert dict(wide.dtypes) == dict(long.dtypes)
+    assert records(wide) == records(long)
+
+
 def brute(rows):
     """Seven statistics of (order, value) rows."""
     rows = sorted(rows)
