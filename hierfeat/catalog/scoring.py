@@ -256,6 +256,21 @@ def energy_by_period(spark, sf_dir):
     return rounded(periods, ["mean", "std", "p05", "p50", "p95"])
 
 
+@query(
+    "energy_trajectory",
+    f"""WITH {t.SCORED} SELECT WEEK_NUM AS step, round(avg(CASE WHEN target = 1 THEN energy END), 6) AS e_real,
+round(avg(CASE WHEN target = 0 THEN energy END), 6) AS e_fake FROM scored GROUP BY WEEK_NUM""",
+)
+def energy_trajectory(spark, sf_dir):
+    scored = t.scored_orders(spark, sf_dir)
+    log = scored.select(
+        F.col("WEEK_NUM").alias("step"),
+        F.when(F.col("target") == 1, F.col("energy")).alias("e_real"),
+        F.when(F.col("target") == 0, F.col("energy")).alias("e_fake"),
+    )
+    return rounded(evaluate.energy_trajectory(log), ["e_real", "e_fake"])
+
+
 @query(
     "energy_drift",
     f"""WITH {t.LATENTS}, {NOISY}, {logits_sql('real', 'latents')}, {logits_sql('fake', 'noisy')},

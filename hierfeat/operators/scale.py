@@ -64,9 +64,16 @@ class ScalerModel:
         merged = merge_moments(parts).withColumn("var", sample_variance(F.col("n"), F.col("m2")))
         rows = merged.orderBy("pos").collect()
         if not rows:
-            raise ValueError("no rows to fit a scaler on")
+            raise ValueError("no values to fit a scaler on")
         return cls([r["col"] for r in rows], [r["mean"] for r in rows], [r["var"] for r in rows], eps)
 
+    def varying(self, threshold: float = 1e-4) -> ScalerModel:
+        """The same scaler without columns of lower variance."""
+        kept = [i for i, v in enumerate(self.var) if v is not None and not v < threshold]
+        return ScalerModel(
+            [self.columns[i] for i in kept], [self.mean[i] for i in kept], [self.var[i] for i in kept], self.eps
+        )
+
     def _std(self, position: int) -> float:
         var = self.var[position]
         return (1.0 if var < self.eps else var) ** 0.5

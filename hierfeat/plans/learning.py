@@ -11,7 +11,6 @@ from hierfeat.operators.fit import fit_encoder, fit_head
 from hierfeat.operators.network import apply_network
 from hierfeat.operators.prepare import (
     add_chunk_weights,
-    drop_low_variance,
     feature_columns,
     prepare_features,
     split_by_week,
@@ -42,9 +41,10 @@ def learn(
     features = feature_columns(chunks.drop(chunk))
     prepared = prepare_features(chunks, features)
     train, _ = split_by_week(prepared, val_weeks)
-    features = drop_low_variance(train, features)
+    # One pass gives the variances to select by and the moments to scale with.
+    scaler = ScalerModel.from_moments(moments(train, features, by=[chunk])).varying()
+    features = scaler.columns
     save_features(spark, features, artifact_dir)
-    scaler = ScalerModel.from_moments(moments(train, features, by=[chunk]))
 
     keep = [CASE, chunk, TARGET, WEEK]
     scaled = train.select(scaled_vector(scaler).alias("x"))

@@ -33,11 +33,24 @@ def test_query_equals_its_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert rows
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert slow not in plan
     if name in SQL:
         result = db.sql(SQL[name])
         assert sorted(df.columns) == sorted(result.columns)
         assert compare(rows_of(rows, df.columns), rows_of(result.fetchall(), result.columns)) is None
 
 
+def test_scans_read_only_what_is_used(spark):
+    def scanned(name):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        return [part.split(">")[0] for part in plan.split("ReadSchema: struct<")[1:]]
+
+    assert all(c.count(":") <= 3 for c in scanned("key_distinct"))
+    assert scanned("bernoulli_sample") == ["c_custkey:bigint,c_acctbal:double"]
+    assert scanned("energy_summary") == ["o_totalprice:double"]
+
+
 def test_entry(spark):
     assert entry(spark).count() == 150

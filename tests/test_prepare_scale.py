@@ -82,7 +82,7 @@ def test_scaler_transform_clamp_and_constant_columns(spark):
 def test_one_row_and_no_rows(spark):
     one = spark.createDataFrame([(3.0,)], "a double")
     assert ScalerModel.fit(one, ["a"]).var == [0.0]
-    with pytest.raises(ValueError, match="no rows"):
+    with pytest.raises(ValueError, match="no values"):
         ScalerModel.fit(one.limit(0), ["a"])
 
 
@@ -110,6 +110,7 @@ def test_scaler_round_trip_and_checks(spark, tmp_path):
     raw = spark.createDataFrame([(0, "b", 1.0, 3.0), (1, "a", 2.0, 4.0)], "pos int, col string, mean double, var double")
     raw.write.parquet(str(tmp_path / "raw"))
     assert ScalerModel.load(spark, str(tmp_path / "raw")) == model
+    assert ScalerModel(["a", "b"], [0.0, 1.0], [1e-5, 2.0]).varying() == ScalerModel(["b"], [1.0], [2.0])
     with pytest.raises(ValueError, match="3 features"):
         model.check(["a", "b", "c"])
     with pytest.raises(ValueError, match="order"):
