@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +33,6 @@ ARROW_TO_SPARK = {
 }
 
 
-@dataclass(frozen=True)
-class Shard:
-    path: str
-    types: tuple[tuple[str, str], ...]
-
-
 def list_shards(spark: SparkSession, table: str, data_dir: str) -> list[str]:
     """Sorted paths of the files ``{table}*.parquet`` anywhere below a folder."""
     found = (
@@ -60,9 +53,10 @@ def relevant_files(spark: SparkSession, data_dir: str) -> list[str]:
     return sorted(found.inputFiles())
 
 
-def read_footers(spark: SparkSession, paths: list[str]) -> list[Shard]:
-    """Column types of every shard as stored, read from the footers in parallel.
+def read_footers(spark: SparkSession, paths: list[str]) -> list[tuple[dict[str, str], list[str]]]:
+    """Distinct sets of stored column types, each with the sorted paths that have it.
 
+    The footers are read by the executors, and each set of types reaches the driver once.
     Spark itself shows a column stored as null as a number; the footer tells them apart.
     """
 
@@ -73,18 +67,21 @@ def read_footers(spark: SparkSession, paths: list[str]) -> list[Shard]:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                system, inner = fs.FileSystem.from_uri(path)
+                system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
                 schema = pq.read_schema(inner, filesystem=system)
                 rows.append(json.dumps([[f.name, str(f.type)] for f in schema]))
             yield pd.DataFrame({"path": batch["path"], "types": rows})
 
     width = min(len(paths), spark.sparkContext.defaultParallelism * 4)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(width)
-    rows = listed.mapInPandas(footers, "path string, types string").collect()
-    return [
-        Shard(r["path"], tuple((n, spark_name(t)) for n, t in json.loads(r["types"])))
-        for r in sorted(rows, key=lambda r: r["path"])
-    ]
+    alike = (
+        listed.mapInPandas(footers, "path string, types string")
+        .groupBy("types")
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        .collect()
+    )
+    found = [({n: spark_name(t) for n, t in json.loads(r["types"])}, r["paths"]) for r in alike]
+    return sorted(found, key=lambda kind: kind[1])
 
 
 def spark_name(arrow: str) -> str:
@@ -167,7 +164,5 @@ def scan_table(spark: SparkSession, table: str, data_dir: str, allow_missing: bo
     paths = list_shards(spark, table, data_dir)
     if len(paths) == 1:
         return spark.read.parquet(paths[0])
-    alike: dict[tuple, list[str]] = {}
-    for shard in read_footers(spark, paths):
-        alike.setdefault(shard.types, []).append(shard.path)
-    return union_tables([(spark.read.parquet(*files), dict(types)) for types, files in alike.items()], allow_missing)
+    alike = read_footers(spark, paths)
+    return union_tables([(spark.read.parquet(*files), types) for types, files in alike], allow_missing)
