@@ -335,10 +335,17 @@ def head_fit(spark, sf_dir):
     return rounded(score_vectors(rows, [fitted], "z", ["case_id", "target"]), ["score", "energy"], 4)
 
 
-@query("score_raw")
+TOP, TOP_BIAS = rule(2, 3, 5), [0.05, -0.05]
+
+
+@query(
+    "score_raw",
+    f"WITH {ENCODED}, l AS ({dense_sql('z', 'z', 'l', TOP, TOP_BIAS, KEEP)}) "
+    f"SELECT l_orderkey, l_linenumber, round({SCORE}, 4) AS score, round({ENERGY}, 4) AS energy FROM l",
+)
 def score_raw(spark, sf_dir):
     """Raw measures through scaler, encoder and head at once."""
     lines = t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *MEASURES)
-    top = network.Network([network.linear(rule(2, 3, 5), [0.05, -0.05])])
+    top = network.Network([network.linear(TOP, TOP_BIAS)])
     model = ScoringModel(ScalerModel.fit(lines, MEASURES), encoder(), top)
     return rounded(model.score(lines, ["l_orderkey", "l_linenumber"]), ["score", "energy"], 4)

@@ -7,12 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hierfeat.operators.skew import HotKeys, listed_in
 from hierfeat.spec import CASE, FLAG_SUFFIX, GROUP1, flag_name
 
 
-def restrict(df: DataFrame, ids: DataFrame, key: str = CASE) -> DataFrame:
-    """Rows of the listed entities. Runs ahead of every rollup, so less is aggregated."""
-    return df.join(ids.select(key), key, "left_semi")
+def restrict(df: DataFrame, ids: DataFrame, key: str = CASE, hot: HotKeys | None = None) -> DataFrame:
+    """Rows of the listed entities. Runs ahead of every rollup, so less is aggregated.
+
+    Rows of ``hot`` keys are not shuffled by their key: the few hot ids that are listed
+    are broadcast to them.
+    """
+    wanted = ids.select(key)
+    if hot is None:
+        return df.join(wanted, key, "left_semi")
+    ordinary = listed_in(df, [key], hot.table, "left_anti").join(wanted, key, "left_semi")
+    kept = hot.table.join(wanted, key, "left_semi")
+    return ordinary.unionAll(listed_in(df.filter(F.col(key).isNotNull()), [key], kept, "left_semi"))
 
 
 def add_joined_flag(df: DataFrame, table: str) -> DataFrame:

@@ -10,9 +10,10 @@ from hierfeat.operators import slices
 from hierfeat.operators.quantiles import column_quantiles, quantiles
 from hierfeat.spec import TARGET, WEEK
 
-# Fixed values of the stability metric.
+# Fixed values of the stability metric and of the energy penalty.
 FALLING_WEIGHT = 88.0
 RESIDUAL_WEIGHT = 0.5
+L2_ENERGY_WEIGHT = 1e-4
 # Bounds on what a population or period column may hold.
 MOST_POPULATIONS = 1_000
 MOST_PERIODS = 100_000
@@ -221,7 +222,7 @@ def loss_terms(
     logits: str = "logits",
     target: str = TARGET,
     weight: str | None = None,
-    l2_energy_weight: float = 1e-4,
+    l2_energy_weight: float = L2_ENERGY_WEIGHT,
 ) -> DataFrame:
     """Cross-entropy, energy gap and energy penalty of a head over two scored tables.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from hierfeat.functions.missing import nan_as_null
 from hierfeat.operators.quantiles import list_quantile, quantiles
-from hierfeat.operators.skew import HotKeys, find_hot_keys, split_hot
+from hierfeat.operators.skew import HotKeys, find_hot_keys, listed_in, split_hot
 from hierfeat.spec import CASE, FLAG_SUFFIX, GROUP1, KEYS
 
 NUMERIC_STATS = ("max", "min", "mean", "std", "iqr")
@@ -97,21 +97,20 @@ def rollup_numeric(
     if not iqr or not columns:
         return _statistics(df, keys, values, flags, None)
     if isinstance(hot, str):
-        hot = find_hot_keys(df.select(*keys), keys, columns_held(len(columns)))
+        hot = find_hot_keys(df.select(*keys), keys, min(len(columns), WIDE_COLUMNS))
     if hot is None:
         return _statistics(df, keys, values, flags, iqr)
     ordinary, heavy = split_hot(df, keys, hot)
     light = _statistics(ordinary, keys, values, flags, iqr)
-    ranges = _large_ranges(heavy, keys, values, iqr, hot.listed)
+    # Giant keys are few: their brackets are broadcast and their rows stay where they are.
+    # The others are each less than a task's work.
+    ranges = _large_ranges(heavy, keys, values, iqr, hot.only(giant=True), few=True).unionByName(
+        _large_ranges(heavy, keys, values, iqr, hot.only(giant=False), few=False)
+    )
     loaded = _statistics(heavy, keys, values, flags, None).join(ranges, keys, "left")
     return light.unionByName(loaded)
 
 
-def columns_held(numeric: int) -> int:
-    """Columns whose values of one group a task holds at the same time."""
-    return min(numeric, WIDE_COLUMNS)
-
-
 def _aggregates(v: Column, iqr: str | None) -> dict[str, Column]:
     found = {"max": F.max(v), "min": F.min(v), "mean": F.avg(v), "std": F.stddev_samp(v)}
     if iqr:
@@ -162,10 +161,11 @@ def _long_statistics(
 
 
 def _large_ranges(
-    df: DataFrame, keys: list[str], values: dict[str, Column], iqr: str, few: bool
+    df: DataFrame, keys: list[str], values: dict[str, Column], iqr: str, hot: HotKeys, few: bool
 ) -> DataFrame:
+    rows = listed_in(df, keys, hot.table, "left_semi")
     cells = F.posexplode(F.array(*[v.cast("double") for v in values.values()])).alias("_pos", "_v")
-    ends = quantiles(df.select(*keys, cells), [*keys, "_pos"], "_v", [0.25, 0.75], iqr, few_groups=few)
+    ends = quantiles(rows.select(*keys, cells), [*keys, "_pos"], "_v", [0.25, 0.75], iqr, few_groups=few)
     entry = F.struct("_pos", (F.col("q1") - F.col("q0")).alias("iqr"))
     ranges = ends.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_by"))
     return ranges.select(

@@ -17,9 +17,9 @@ from hierfeat.operators.assemble import (
     restrict,
 )
 from hierfeat.operators.impute import Imputer, ImputerModel
-from hierfeat.operators.rollup import columns_held, rollup_children, rollup_history, split_columns
+from hierfeat.operators.rollup import WIDE_COLUMNS, rollup_children, rollup_history
 from hierfeat.operators.sampling import stratified_sample
-from hierfeat.operators.skew import find_hot_keys
+from hierfeat.operators.skew import HotKeys, find_hot_keys
 from hierfeat.session import checkpointed
 from hierfeat.sources.export import export_chunks, export_profile, export_table
 from hierfeat.sources.shards import scan_table
@@ -38,28 +38,27 @@ def assemble_matrix(
     ``ids`` restricts every table before it is rolled up; without it nothing is dropped.
     """
 
-    def restricted(df: DataFrame) -> DataFrame:
-        return df if ids is None else restrict(df, ids)
-
-    def rows(table: TableSpec) -> DataFrame:
-        return add_joined_flag(restricted(read(table.name)), table.name)
+    def rows(table: TableSpec) -> tuple[DataFrame, HotKeys | None]:
+        """Flagged rows of a table, and its hot keys as far as anything depends on them."""
+        stored = read(table.name)
+        hot = None
+        if table.depth and (ids is not None or (iqr and table.depth == 1)):
+            # Counted on the stored table: one column, no joins.
+            hot = find_hot_keys(stored.select(CASE), [CASE], WIDE_COLUMNS)
+        kept = stored if ids is None else restrict(stored, ids, hot=hot)
+        return add_joined_flag(kept, table.name), hot
 
-    base = restricted(read(spec.base))
+    base = read(spec.base)
+    base = base if ids is None else restrict(base, ids)
     children = defaultdict(list)
     for table in spec.at_depth(2):
-        children[table.parent].append(rollup_children(rows(table), order=table.order_columns))
+        children[table.parent].append(rollup_children(rows(table)[0], order=table.order_columns))
     joined = []
     for table in spec.at_depth(1):
-        stored = read(table.name)
-        history = add_joined_flag(restricted(stored), table.name)
+        history, hot = rows(table)
         history = attach_children(history, children[table.name])
-        hot = None
-        if iqr:
-            # Counted on the stored table: one column, no joins.
-            _, numeric, _ = split_columns(history)
-            hot = find_hot_keys(stored.select(CASE), [CASE], columns_held(len(numeric)))
         joined.append(rollup_history(history, order=table.order_columns, iqr=iqr, hot=hot))
-    joined += [rows(table) for table in spec.at_depth(0)]
+    joined += [rows(table)[0] for table in spec.at_depth(0)]
     return fill_joined_flags(join_to_base(base, joined))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -98,15 +98,6 @@ class BuildConfig:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class EnergyConfig:
-    """Shape of the scoring head and weights of its loss terms."""
-
-    hidden_dims: tuple[int, ...] = field(default=(256, 256))
-    l2_energy_weight: float = 1e-4
-    spectral_norm: bool = True
-
-
 def mode_name(table: str, inference: bool) -> str:
     return table.replace("train_", "test_") if inference else table
 

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hierfeat.operators.evaluate import gini_stability
 from hierfeat.operators.scale import ScalerModel
+from hierfeat.operators.skew import find_hot_keys
 from hierfeat.plans.feature_build import FeatureBuild
 from hierfeat.plans.learning import learn
 from hierfeat.plans.scoring_job import score_test_set
@@ -115,6 +117,16 @@ def test_build_is_the_same_under_any_partitioning(spark, run, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", width)
 
 
+def test_build_with_hot_entities(spark, run, monkeypatch):
+    """Low bounds make most entities hot, some of them giant; the matrix stays the same."""
+    _, config, features = run
+    hot = partial(find_hot_keys, cells=30, giant=0.003)
+    monkeypatch.setattr("hierfeat.plans.feature_build.find_hot_keys", hot)
+    again = FeatureBuild(SPEC, config).run(spark, export=False)
+    rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in features.dtypes]
+    assert records(again.select(*rounded)) == records(features.select(*rounded))
+
+
 def test_learn_and_score(spark, run, tmp_path):
     folder, config, _ = run
     chunks = read_chunks(spark, f"{config.output_dir}/chunks")

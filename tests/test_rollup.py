@@ -65,9 +65,10 @@ def test_hot_keys_give_the_same_numbers(spark, method):
     df = spark.createDataFrame(rows, "case_id int, a double, b int").repartition(5)
     nothing = None
     everything = find_hot_keys(df, ["case_id"], cells=0)
-    many = find_hot_keys(df, ["case_id"], cells=0, most=3)
+    many = find_hot_keys(df, ["case_id"], cells=0, collected=3, giant=0.5)
     some = find_hot_keys(df, ["case_id"], columns=2, cells=400)
-    assert everything.listed and not many.listed and some.table.count() == 1
+    assert many.only(giant=True).table.count() == some.table.count() == 1
+    assert many.table.count() == everything.table.count() == 17
     results = [
         records(
             rollup_numeric(df, ["case_id"], ["a", "b"], iqr=method, hot=hot).withColumns(

@@ -10,6 +10,7 @@ from hierfeat.operators.assemble import (
     join_to_base,
     restrict,
 )
+from hierfeat.operators.skew import find_hot_keys
 from hierfeat.operators.sampling import balanced_resample, random_subset, stratified_sample
 
 
@@ -107,6 +108,16 @@ def test_table_ends(base):
     assert [r.case_id for r in ordering.tail(base, ["case_id"], 2).collect()] == [999, 998]
 
 
+def test_hot_rows_are_restricted_too(spark):
+    rows = [(1, i) for i in range(30)] + [(2, i) for i in range(30)] + [(None, i) for i in range(30)] + [(3, 0), (4, 0)]
+    df = spark.createDataFrame(rows, "case_id int, v int")
+    ids = spark.createDataFrame([(1,), (3,), (5,)], "case_id int")
+    hot = find_hot_keys(df.select("case_id"), ["case_id"], cells=10)
+    assert hot.table.count() == 3
+    assert records(restrict(df, ids, hot=hot)) == records(restrict(df, ids))
+    assert restrict(df, ids, hot=hot).count() == 31
+
+
 def test_flags_and_joins(spark):
     base = spark.createDataFrame([(1,), (2,)], "case_id int")
     table = add_joined_flag(spark.createDataFrame([(1, 5)], "case_id int, x int"), "train_t")

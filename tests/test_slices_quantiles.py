@@ -83,12 +83,14 @@ def test_nan_sorts_last_and_null_is_left_out(spark, accuracy):
     assert math.isnan(row.q3)
 
 
-@pytest.mark.parametrize("most", [100, 1])
-def test_hot_keys_are_split_exactly(spark, most):
+@pytest.mark.parametrize("collected", [100, 1])
+def test_hot_keys_are_split_exactly(spark, collected):
     df = make(spark, [(1, i) for i in range(50)] + [(None, i) for i in range(40)] + [(2, 0), (3, 0)], "k int, v int")
-    hot = find_hot_keys(df, ["k"], columns=2, cells=40, most=most)
-    assert hot.listed == (most > 1)
-    assert sorted(str(r.k) for r in hot.table.collect()) == ["1", "None"]
+    hot = find_hot_keys(df, ["k"], columns=2, cells=40, collected=collected, giant=0.5)
+    assert sorted((str(r.k), r._giant) for r in hot.table.collect()) == [("1", True), ("None", False)]
+    assert [r.k for r in hot.only(giant=True).table.collect()] == [1]
     ordinary, heavy = split_hot(df, ["k"], hot)
     assert ordinary.count() == 2 and heavy.count() == 90
     assert find_hot_keys(df, ["k"], cells=50) is None
+    # at most two keys can hold more than half of the rows each
+    assert find_hot_keys(df, ["k"], cells=0, most=2).table.count() == 1
