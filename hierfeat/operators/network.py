@@ -120,14 +120,15 @@ def lists(values: np.ndarray) -> pa.Array:
 def apply_network(
     df: DataFrame, network: Network, column: str, name: str, keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """Add ``name``, the network's output for the array column ``column``."""
-    keep = [c for c in df.columns if c not in (column, name)] if keep is None else list(keep)
-    shipped = df.sparkSession.sparkContext.broadcast(network)
+    """Add ``name``, the network's output for the array column ``column``.
 
+    The network is part of the function; Spark broadcasts functions above a megabyte.
+    """
+    keep = [c for c in df.columns if c not in (column, name)] if keep is None else list(keep)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = shipped.value.apply(matrix(batch.column(column), column))
+                out = network.apply(matrix(batch.column(column), column))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists(out)], [*keep, name])
 
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.ArrayType(T.DoubleType()))])

@@ -35,14 +35,14 @@ def score_vectors(
 ) -> DataFrame:
     """``score`` and ``energy`` of an array column sent through the networks in turn."""
     keep = list(keep)
-    shipped = df.sparkSession.sparkContext.broadcast(list(networks))
+    networks = list(networks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column(column), column)
-            for network in shipped.value:
+            for network in networks:
                 x = network.apply(x)
             score, energy = head_outputs(x)
             outputs = [pa.array(score), pa.array(energy)] + ([lists(x)] if with_logits else [])

@@ -1,5 +1,6 @@
 import glob
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -52,5 +53,26 @@ def test_scans_read_only_what_is_used(spark):
     assert scanned("energy_summary") == ["o_totalprice:double"]
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Driver started elsewhere, the package only on the driver's own path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {root!r})
+from __spark_entry__ import queries
+for name in ("score_energy", "latent_encode", "pca_project", "scan_table"):
+    assert queries()[name](spark, {SF!r}).count() > 0
+from hierfeat.sources.shards import read_footers
+assert read_footers(spark, ["file://" + {SF!r} + "/orders.parquet"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_entry(spark):
     assert entry(spark).count() == 150
