@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hierfeat.llm import bpe, exact, fingerprints, mixing, quality, token_counts
+from hierfeat.llm import bpe, exact, fingerprints, html_content, language, mixing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(table(spark, sf_dir, "documents"))
 
 
+@query("op3_private_data")
+def private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(table(spark, sf_dir, "documents"))
+
+
 def byte_ranks() -> bpe.Ranks:
     return bpe.Ranks.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,6 +57,16 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), byte_ranks())
 
 
+@query("op5_language")
+def language_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+@query("op6_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
