@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hierfeat.llm import bpe, exact, fingerprints, html_content, language, mixing, pii, quality, token_counts
+from hierfeat.llm import bpe, exact, fingerprints, html_content, language, mixing, pii, quality, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(table(spark, sf_dir, "documents"))
 
 
+@query("op2_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_private_data")
 def private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(table(spark, sf_dir, "documents"))
