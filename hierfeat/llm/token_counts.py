@@ -115,12 +115,12 @@ def token_counts(
 
     # A first entry without a piece carries the values of the document itself.
     no_piece = F.struct(F.lit(None).cast("string").alias("piece"), F.lit(0).cast("bigint").alias("times"))
-    cut = docs.select(F.col(key).alias("key"), cut_column(shipped, text).alias("f")).select(
-        F.monotonically_increasing_id().alias("row"),
-        "key",
-        "f.n_bytes",
-        "f.known",
-        F.explode(F.concat(F.array(no_piece), F.col("f.rare"))).alias("r"),
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), cut_column(shipped, text).alias("f")
+    )
+    # Numbers are given before the rows are multiplied.
+    cut = numbered.select(
+        "row", "key", "f.n_bytes", "f.known", F.explode(F.concat(F.array(no_piece), F.col("f.rare"))).alias("r")
     )
     rows = stored(
         cut.select(
