@@ -98,9 +98,7 @@ def party(spark, sf_dir, table: str):
     return rows.select(*columns)
 
 
-@query(
-    "impute_apply",
-    """WITH train AS (
+IMPUTED = """WITH train AS (
   SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance, c_nationkey % 4 AS zone,
          CASE WHEN c_custkey % 9 = 0 THEN 'MISSING' ELSE CAST(c_nationkey AS VARCHAR) END AS nation
   FROM customer),
@@ -114,8 +112,10 @@ SELECT case_id, round(coalesce(balance, (SELECT median(balance) FROM train)), 4)
        (SELECT median(zone) FROM train) AS zone,
        CAST(CASE WHEN balance IS NULL THEN 1 ELSE 0 END AS TINYINT) AS balance_is_null,
        CAST(0 AS TINYINT) AS nation_no_is_null, CAST(0 AS TINYINT) AS zone_is_null
-FROM test LEFT JOIN counts USING (nation)""",
-)
+FROM test LEFT JOIN counts USING (nation)"""
+
+
+@query("impute_apply", IMPUTED)
 def impute_apply(spark, sf_dir):
     model = impute.Imputer().fit(party(spark, sf_dir, "customer"))
     return rounded(model.transform(party(spark, sf_dir, "supplier")), ["balance"], 4)
@@ -195,11 +195,10 @@ def chrono_split(spark, sf_dir):
 
 @query(
     "class_weights",
-    "SELECT toxic AS target, count(*) AS n, round(1.0::DOUBLE / count(*), 8) AS weight FROM labels "
-    "JOIN documents USING (doc_id) GROUP BY toxic",
+    "SELECT toxic AS target, count(*) AS n, round(1.0::DOUBLE / count(*), 8) AS weight FROM labels GROUP BY toxic",
 )
 def class_weights(spark, sf_dir):
-    labels = t.read(spark, sf_dir, "labels").join(t.read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    labels = t.read(spark, sf_dir, "labels")
     return rounded(inverse_class_weight(labels.withColumnRenamed("toxic", "target")), ["weight"], 8)
 
 

@@ -10,7 +10,6 @@ from hierfeat.catalog.registry import query, rounded
 from hierfeat.operators import evaluate, network
 from hierfeat.operators.fit import fit_encoder, fit_head, project
 from hierfeat.operators.prepare import add_class_weights
-from hierfeat.operators.sampling import random_subset
 from hierfeat.operators.scale import ScalerModel
 from hierfeat.operators.score import ScoringModel, perturb, scaled_vector, score_vectors
 
@@ -258,16 +257,16 @@ def energy_by_period(spark, sf_dir):
 
 @query(
     "energy_trajectory",
-    f"""WITH {t.SCORED} SELECT WEEK_NUM AS step, round(avg(CASE WHEN target = 1 THEN energy END), 6) AS e_real,
-round(avg(CASE WHEN target = 0 THEN energy END), 6) AS e_fake FROM scored GROUP BY WEEK_NUM""",
+    f"""WITH {t.LATENTS}, {NOISY}, {logits_sql('real', 'latents')}, {logits_sql('fake', 'noisy')},
+log AS (SELECT WEEK_NUM, {ENERGY} AS e_real, NULL::DOUBLE AS e_fake FROM real
+        UNION ALL SELECT WEEK_NUM, NULL, {ENERGY} FROM fake)
+SELECT WEEK_NUM AS step, round(avg(e_real), 6) AS e_real, round(avg(e_fake), 6) AS e_fake FROM log GROUP BY WEEK_NUM""",
 )
 def energy_trajectory(spark, sf_dir):
-    scored = t.scored_orders(spark, sf_dir)
-    log = scored.select(
-        F.col("WEEK_NUM").alias("step"),
-        F.when(F.col("target") == 1, F.col("energy")).alias("e_real"),
-        F.when(F.col("target") == 0, F.col("energy")).alias("e_fake"),
-    )
+    """Stored latents and their perturbed copies as the real and generated rows of a run."""
+    step, none = F.col("WEEK_NUM").alias("step"), F.lit(None).cast("double")
+    real = scored_latents(spark, sf_dir).select(step, F.col("energy").alias("e_real"), none.alias("e_fake"))
+    log = real.unionByName(scored_noise(spark, sf_dir).select(step, none.alias("e_real"), F.col("energy").alias("e_fake")))
     return rounded(evaluate.energy_trajectory(log), ["e_real", "e_fake"])
 
 
@@ -307,7 +306,7 @@ def score_losses(spark, sf_dir):
 def pca_project(spark, sf_dir):
     """Latents and their perturbed copies on the two main axes of the latents."""
     real = t.latents(spark, sf_dir)
-    compared = random_subset(perturb(real, "z", "case_id"), "case_id", 1000)
+    compared = perturb(real, "z", "case_id")
     on_axes, others = project(real, compared, "z", ["case_id"])
     both = on_axes.withColumn("population", F.lit("real")).unionByName(
         others.withColumn("population", F.lit("perturbed"))

@@ -14,9 +14,6 @@ from hierfeat.spec import TARGET, WEEK
 FALLING_WEIGHT = 88.0
 RESIDUAL_WEIGHT = 0.5
 L2_ENERGY_WEIGHT = 1e-4
-# Bounds on what a population or period column may hold.
-MOST_POPULATIONS = 1_000
-MOST_PERIODS = 100_000
 
 
 def _class_counts_by_score(scored: DataFrame, keys: list[str], score: str, target: str) -> DataFrame:
@@ -98,10 +95,11 @@ def evaluate_scores(
 def average_precision(scored: DataFrame, score: str = "score", target: str = TARGET) -> DataFrame:
     """Area under the precision-recall curve, one row."""
     counts = _sliced_counts(scored, [], score, target)
-    known = scored.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
     below = slices.running_totals(counts, {"_p": F.col("_pos"), "_n": F.col("_neg")}, ["_score"])
-    positives = known.filter(F.col(target) == 1).agg(F.count(F.lit(1))).scalar()
-    rows = known.agg(F.count(F.lit(1))).scalar()
+    # Both totals are sums of the counts by score; the table is not scanned again.
+    totals = _class_counts_by_score(scored, [], score, target)
+    positives = totals.agg(F.sum("_pos")).scalar()
+    rows = totals.agg(F.sum(F.col("_pos") + F.col("_neg"))).scalar()
     caught = positives - F.col("_p")
     flagged = rows - F.col("_p") - F.col("_n")
     area = F.sum(F.col("_pos") / positives * caught / flagged)
@@ -114,13 +112,13 @@ def calibration_curve(
     """Mean score and observed rate per quantile bin; empty bins are left out."""
     shares = [i / bins for i in range(1, bins)]
     edges: list[float] = []
+    known = scored.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
     if shares:
-        found = column_quantiles(scored, [score], shares, "linear").first()
+        found = column_quantiles(known, [score], shares, "linear").first()
         edges = [found[f"q{i}"] for i in range(len(shares))] if found else []
     place = F.lit(0)
     for edge in edges:
         place = place + (F.lit(edge) < F.col(score)).cast("int")
-    known = scored.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
     return (
         known.groupBy(place.alias("bin"))
         .agg(
@@ -146,11 +144,8 @@ def histogram(df: DataFrame, value: str = "energy", population: str = "populatio
         F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
     )
-    # A handful of populations; the check bounds what is broadcast below.
-    rows = ranges.limit(MOST_POPULATIONS + 1).collect()
-    if len(rows) > MOST_POPULATIONS:
-        raise ValueError(f"{population} has more than {MOST_POPULATIONS} values")
-    spans = F.broadcast(df.sparkSession.createDataFrame(rows, ranges.schema))
+    # Any number of populations; few of them are broadcast by the size Spark finds.
+    spans = ranges
     place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
     counts = (
         known.select(population, value)
@@ -184,9 +179,7 @@ def energy_by_period(
     stats = df.groupBy(period).agg(
         F.count(energy).alias("n"), F.avg(energy).alias("mean"), F.stddev_pop(energy).alias("std")
     )
-    if stats.select(period).limit(MOST_PERIODS + 1).count() > MOST_PERIODS:
-        raise ValueError(f"{period} has more than {MOST_PERIODS} values")
-    spread = quantiles(df.select(period, energy), [period], energy, fractions, "linear").drop("n")
+    spread = quantiles(df.select(period, energy), [period], energy, fractions, "linear", few_groups=False).drop("n")
     names = {f"q{i}": f"p{round(q * 100):02d}" for i, q in enumerate(fractions)}
     return stats.join(spread.withColumnsRenamed(names), period, "left")
 

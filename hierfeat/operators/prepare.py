@@ -12,6 +12,7 @@ from hierfeat.functions.missing import feature_float
 from hierfeat.spec import CASE, MONTH, TARGET, WEEK
 
 META = (CASE, MONTH, WEEK, TARGET)
+# Tables of up to so many classes are broadcast, larger ones joined by shuffle.
 MOST_CLASSES = 1_000
 
 
@@ -45,18 +46,15 @@ def split_by_week(df: DataFrame, val_weeks: int = 12, week: str = WEEK) -> tuple
     return df.filter(F.col(week) <= last - val_weeks), df.filter(F.col(week) > last - val_weeks)
 
 
-def class_counts(df: DataFrame, target: str = TARGET) -> dict:
-    """Rows per class on the driver; a column with too many values is no class label."""
-    rows = (
-        df.filter(F.col(target).isNotNull())
-        .groupBy(F.col(target).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(MOST_CLASSES + 1)
-        .collect()
-    )
-    if len(rows) > MOST_CLASSES:
-        raise ValueError(f"{target} has more than {MOST_CLASSES} values")
-    return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"])}
+def class_counts(df: DataFrame, target: str = TARGET) -> DataFrame:
+    """Rows per class, as ``label``, ``n``; null is no class."""
+    known = df.filter(F.col(target).isNotNull())
+    return known.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def few_or_joined(table: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
+    """Mark a table for broadcast if it is counted to have few rows; else a join shuffles it."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def inverse_class_weight(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -92,8 +90,6 @@ def add_chunk_weights(df: DataFrame, chunk: str = "chunk", target: str = TARGET)
 def add_class_weights(df: DataFrame, target: str = TARGET, name: str = "weight") -> DataFrame:
     """Give every row the weight of its class in the whole table."""
     counts = class_counts(df, target)
-    n = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for label, count in counts.items():
-        weight = F.when(F.col(target) == label, F.lit(n / (len(counts) * count))).otherwise(weight)
-    return df.withColumn(name, weight)
+    n, classes = counts.agg(F.sum("n")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    weights = counts.select(F.col("label").alias("_label"), (n / (classes * F.col("n"))).alias(name))
+    return df.drop(name).join(few_or_joined(weights), F.col(target) == F.col("_label"), "left").drop("_label")

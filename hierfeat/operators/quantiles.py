@@ -11,9 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from hierfeat.operators.slices import SLICE, running_totals
+from hierfeat.session import shuffle_width
 
 ACCURACY = 10_000
+# Parts that the values inside a bracket are cut into, at most.
+SLICES = 256
 METHODS = ("nearest", "linear")
 
 
@@ -73,18 +77,33 @@ def quantiles(
         inside = inside | ((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")))
         floors.append(F.when(F.col(f"_hi{i}") < v, F.col(f"_hi{i}")))
     gap_floor = F.greatest(*floors)
+    # Slices follow the order of the values: those of bracket i come after those before it, and what
+    # lies above the bracket ends its last one.
+    width = min(SLICES, shuffle_width(long.sparkSession))
+    held, passed = [], [F.lit(0)]
+    for i in range(len(fractions)):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        share = F.floor(F.try_divide(v - low, high - low) * width)
+        bounded = (low > -infinity) & ~F.isnan(high) & (high > low)
+        place = F.when(bounded, F.least(F.greatest(share, F.lit(0)), F.lit(width - 1))).otherwise(F.lit(0))
+        held.append(F.when((v >= low) & (v <= high), i * width + place))
+        passed.append(F.when(high < v, F.lit((i + 1) * width - 1)))
+    part = F.coalesce(*held, F.greatest(*passed))
     counted = (
         joined.select(
             *groups,
             "n",
             (~inside).alias("_gap"),
             F.when(inside, v).otherwise(gap_floor).alias("_v"),
+            part.cast("int").alias("_part"),
         )
-        .groupBy(*groups, "n", "_v", "_gap")
+        .groupBy(*groups, "n", "_v", "_gap", "_part")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    order = Window.partitionBy(*groups).orderBy("_v", "_gap").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_m").over(order))
+    # Running counts go slice by slice, so no task holds all brackets of a group.
+    sliced = counted.withColumn(SLICE, F.col("_part"))
+    before = running_totals(sliced, {"_before": F.col("_m")}, ["_v", "_gap"], groups)
+    ranked = before.withColumn("_upto", F.col("_before") + F.col("_m"))
 
     def at(rank: Column) -> Column:
         here = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_m"))

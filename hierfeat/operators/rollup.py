@@ -84,33 +84,46 @@ def rollup_numeric(
     iqr: str | None = "nearest",
     nan_policy: str = "as_null",
     hot: HotKeys | str | None = DETECT,
+    null_keys: bool = True,
 ) -> DataFrame:
     """Max, min, mean, sample std and interquartile range per key; flags keep their maximum.
 
     All but the range merge in constant space. The range needs the sorted values of a
     group, so ordinary groups sort theirs in the same aggregation, and hot keys go
     through exact quantiles spread over the cluster. ``hot`` lists the hot keys, None
-    says there are none, and by default they are looked for in ``df``.
+    says there are none, and by default they are looked for in ``df``. Rows whose key is
+    null form a group of their own, whatever the number of columns or the size of the
+    group; ``null_keys=False`` leaves them out, which saves a shuffle of the result.
     """
     keys = list(keys)
+    df = df if null_keys else df.dropna(subset=keys)
     values = {c: _value(df, c, nan_policy) for c in columns}
     if not iqr or not columns:
-        return _statistics(df, keys, values, flags, None)
+        return _statistics(df, keys, values, flags, None, null_keys)
     if isinstance(hot, str):
         hot = find_hot_keys(df.select(*keys), keys, min(len(columns), WIDE_COLUMNS))
     if hot is None:
-        return _statistics(df, keys, values, flags, iqr)
+        return _statistics(df, keys, values, flags, iqr, null_keys)
     ordinary, heavy = split_hot(df, keys, hot)
-    light = _statistics(ordinary, keys, values, flags, iqr)
+    light = _statistics(ordinary, keys, values, flags, iqr, null_keys)
     # Giant keys are few: their brackets are broadcast and their rows stay where they are.
     # The others are each less than a task's work.
     ranges = _large_ranges(heavy, keys, values, iqr, hot.only(giant=True), few=True).unionByName(
         _large_ranges(heavy, keys, values, iqr, hot.only(giant=False), few=False)
     )
-    loaded = _statistics(heavy, keys, values, flags, None).join(ranges, keys, "left")
+    loaded = _by_key(_statistics(heavy, keys, values, flags, None, null_keys), ranges, keys, "left", null_keys)
     return light.unionByName(loaded)
 
 
+def _by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_keys: bool) -> DataFrame:
+    """Join two tables with one row per key; null keys meet too, as equal fields of a struct do."""
+    if not null_keys:
+        return left.join(right, list(keys), how)
+    key, values = F.struct(*keys).alias("_key"), [c for c in right.columns if c not in keys]
+    both = left.withColumn("_key", key).join(right.select(key, *[F.col(f"`{c}`") for c in values]), "_key", how)
+    return both.drop("_key")
+
+
 def _aggregates(v: Column, iqr: str | None) -> dict[str, Column]:
     found = {"max": F.max(v), "min": F.min(v), "mean": F.avg(v), "std": F.stddev_samp(v)}
     if iqr:
@@ -120,7 +133,7 @@ def _aggregates(v: Column, iqr: str | None) -> dict[str, Column]:
 
 
 def _statistics(
-    df: DataFrame, keys: list[str], values: dict[str, Column], flags: Sequence[str], iqr: str | None
+    df: DataFrame, keys: list[str], values: dict[str, Column], flags: Sequence[str], iqr: str | None, null_keys: bool
 ) -> DataFrame:
     """Statistics of all columns; kinds with many columns in long form, the rest side by side."""
     kinds: dict[str, list[str]] = {"bigint": [], "double": []}
@@ -139,7 +152,7 @@ def _statistics(
         parts.append(_long_statistics(df, keys, {c: values[c] for c in columns}, kind, iqr))
     result = parts[0]
     for part in parts[1:]:
-        result = result.join(part, keys)
+        result = _by_key(result, part, keys, "inner", null_keys)
     return result
 
 
@@ -238,19 +251,24 @@ def rollup_history(
     iqr: str | None = "nearest",
     nan_policy: str = "as_null",
     hot: HotKeys | str | None = DETECT,
+    null_keys: bool = True,
 ) -> DataFrame:
-    """Depth 1 to one row per entity, the statistics chosen by column type."""
+    """Depth 1 to one row per entity, the statistics chosen by column type.
+
+    ``null_keys=False`` leaves out rows without a key, which a join to a base never finds.
+    """
     keys = list(keys)
+    df = df if null_keys else df.dropna(subset=keys)
     ignored = {*KEYS, *keys}
     flags, numeric, other = split_columns(df, ignored)
     if not (flags or numeric or other):
         return distinct_keys(df, keys)
     parts = []
     if flags or numeric:
-        parts.append(rollup_numeric(df, keys, numeric, flags, iqr, nan_policy, hot))
+        parts.append(rollup_numeric(df, keys, numeric, flags, iqr, nan_policy, hot, null_keys))
     if other:
         parts.append(rollup_categories(df, keys, other, order))
-    rolled = parts[0] if len(parts) == 1 else parts[0].join(parts[1], keys, "inner")
+    rolled = parts[0] if len(parts) == 1 else _by_key(parts[0], parts[1], keys, "inner", null_keys)
     names = []
     for c in df.columns:
         if c in flags:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hierfeat.functions.hashing import below_share, hash_hex, hex_word
 from hierfeat.operators import slices
-from hierfeat.operators.prepare import class_counts
+from hierfeat.operators.prepare import class_counts, few_or_joined
 from hierfeat.spec import CASE, TARGET
 
 logger = logging.getLogger(__name__)
@@ -76,10 +76,10 @@ def balanced_resample(
     """
     spark = df.sparkSession
     counts = class_counts(df, target_col)
-    classes = list(counts)
+    classes, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not classes:
         raise ValueError("no rows to draw from")
-    draws = sum(counts.values()) if draws is None else draws
+    draws = total if draws is None else draws
     rows = df.filter(F.col(target_col).isNotNull()).select(
         F.col(key), F.col(target_col), hash_hex(seed, F.col(key)).alias("_hash")
     )
@@ -88,13 +88,13 @@ def balanced_resample(
     ).select(key, target_col, "_idx")
 
     digits = hash_hex(f"{seed}|draw", F.col("id"))
-    which = hex_word(digits) % len(classes)
+    which = hex_word(digits) % classes
     picked = spark.range(draws).select(F.col("id").alias("draw"), which.alias("_w"), hex_word(digits, 9, 12).alias("_u"))
-    chosen, size = F.lit(None), F.lit(None).cast("bigint")
-    for i, c in enumerate(classes):
-        chosen = F.when(F.col("_w") == i, F.lit(c)).otherwise(chosen)
-        size = F.when(F.col("_w") == i, F.lit(counts[c])).otherwise(size)
-    picked = picked.select("draw", chosen.alias(target_col), (F.col("_u") % size).alias("_idx"))
+    # One row per class: numbering them in one place is small next to the draws.
+    numbered = counts.withColumn("_w", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint"))
+    picked = picked.join(few_or_joined(numbered), "_w").select(
+        "draw", F.col("label").alias(target_col), (F.col("_u") % F.col("n")).alias("_idx")
+    )
     return picked.join(rows, [target_col, "_idx"]).select("draw", key, target_col)
 
 

@@ -44,10 +44,11 @@ def find_hot_keys(
 
     One job that counts the key columns, combined before it shuffles.
     """
-    size = F.count(F.lit(1))
-    total = df.agg(size).scalar()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    # The total is a sum of the same counts, so the table is read and shuffled once.
+    total = sizes.agg(F.sum("_rows")).scalar()
     limit = F.greatest(F.lit(cells // max(1, columns)), total / F.lit(most))
-    counts = df.groupBy(*keys).agg(size.alias("_rows")).filter(F.col("_rows") > limit)
+    counts = sizes.filter(F.col("_rows") > limit)
     found = counts.select(*keys, (F.col("_rows") > total * F.lit(giant)).alias("_giant"))
     rows = found.limit(collected + 1).collect()
     if not rows:

@@ -9,11 +9,13 @@ lost executor recomputes the same result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hierfeat.functions.hashing import hex_word
@@ -31,13 +33,16 @@ def by_value(
     values on the driver); the slices they cut are used exactly. ``edges_from`` reads the
     edges off a cheaper table whose rows outnumber those of ``df`` in every value range.
     """
+    if not isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+        raise TypeError(f"{column} has no numeric order: {df.schema[column].dataType.simpleString()}")
     source = df if edges_from is None else edges_from
     parts = parts or shuffle_width(df.sparkSession)
     inner: list[float] = []
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
         values = source.select(F.col(column).cast("double").alias(column))
-        inner = sorted(set(values.approxQuantile(column, shares, 0.25 / parts)))
+        # Infinite values fall into the first and the last slice.
+        inner = sorted({v for v in values.approxQuantile(column, shares, 0.25 / parts) if math.isfinite(v)})
     if not inner:
         return df.withColumn(SLICE, F.lit(0))
     key = "_slice_key"
@@ -64,9 +69,13 @@ def running_totals(
 ) -> DataFrame:
     """Add, per row, the sum over all earlier rows of its group.
 
-    ``sliced`` carries slices that follow ``order``, and ``order`` is unique in a group.
+    ``sliced`` carries slices that follow ``order``, and ``order`` is unique in a group. A
+    column that already has the name of a sum is an error.
     """
     groups = list(groups)
+    taken = {*sums, "_row", *(f"_{n}" for n in sums)} & set(sliced.columns)
+    if taken:
+        raise ValueError(f"the table has columns of these names already: {sorted(taken)}")
     group = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*groups, SLICE).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,19 +43,28 @@ def shuffle_width(spark: SparkSession, most: int = 10_000) -> int:
     return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors see.
+
+    ``spark.checkpoint.dir`` if the session has one, else the warehouse, which the nodes of
+    a cluster share as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster.
 
-    The folder comes from the session; a temporary one is made only where a local
-    session has none.
+    The folder comes from the session, or is :func:`shared_folder` where it names none.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.mkdtemp(prefix="hierfeat-"), "checkpoints")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -163,3 +163,15 @@ def test_history_columns_follow_the_table(spark):
     assert got.columns[-6:] == ["v_max", "v_min", "v_mean", "v_std", "v_iqr", "x_joined_flag"]
     row = got.first()
     assert row.v_std is None and row.v_iqr == 0.0 and row.x_joined_flag == 1
+
+
+def test_null_key_is_a_group_whatever_the_width_and_size(spark):
+    rows = [(k, i, float(i * i % 7), i, "ab"[i % 2]) for i, k in enumerate([1, 1, 2, None, None, None, 2] * 3)]
+    df = spark.createDataFrame(rows, "case_id int, num_group1 int, a double, b bigint, c string")
+    wide = df.select("*", *[(F.col("a") + i).alias(f"a{i}") for i in range(25)])
+    for table in (df, wide, wide.drop("c"), wide.drop("b", "c")):
+        found = rollup_history(table)
+        forced = rollup_history(table, hot=find_hot_keys(table.select("case_id"), ["case_id"], cells=1))
+        assert sorted(r["case_id"] or 0 for r in found.collect()) == [0, 1, 2]
+        assert records(forced) == records(found)
+        assert rollup_history(table, null_keys=False).count() == 2

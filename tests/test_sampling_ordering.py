@@ -136,3 +136,12 @@ def test_flags_and_joins(spark):
         {"case_id": 1, "num_group1": 1, "a": None, "b": None},
         {"case_id": 1, "num_group1": 2, "a": 1, "b": 1},
     ]
+
+
+def test_a_column_of_the_own_name_is_not_lost(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6)], "case_id int, row_idx int")
+    with pytest.raises(ValueError, match="row_idx"):
+        ordering.number_rows(df)
+    text = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    with pytest.raises(TypeError, match="numeric"):
+        ordering.assign_chunks(text, 1)

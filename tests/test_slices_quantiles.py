@@ -94,3 +94,19 @@ def test_hot_keys_are_split_exactly(spark, collected):
     assert find_hot_keys(df, ["k"], cells=50) is None
     # at most two keys can hold more than half of the rows each
     assert find_hot_keys(df, ["k"], cells=0, most=2).table.count() == 1
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear"])
+def test_quantiles_of_values_cut_into_many_slices(spark, monkeypatch, method):
+    """Brackets narrow enough that ranks lie between gaps and slices."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id % 2 AS g", "double(pmod(id * 7919, 30000)) AS v")
+    found = quantiles(df, ["g"], "v", [0.1, 0.25, 0.5, 0.9], method, accuracy=500)
+    for g, rows in df.toPandas().groupby("g"):
+        values = np.sort(rows["v"].to_numpy())
+        want = np.quantile(values, [0.1, 0.25, 0.5, 0.9], method="linear" if method == "linear" else "closest_observation")
+        got = found.filter(F.col("g") == int(g)).first()
+        if method == "linear":
+            assert [got[f"q{i}"] for i in range(4)] == pytest.approx(want)
+        else:
+            assert [got[f"q{i}"] for i in range(4)] == [values[round((len(values) - 1) * q)] for q in (0.1, 0.25, 0.5, 0.9)]
