@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from hierfeat.functions.missing import category, filled, null_indicator
 from hierfeat.operators.quantiles import column_quantiles
-from hierfeat.session import checkpointed
+from hierfeat.session import stored
 from hierfeat.spec import CASE, GROUP1, GROUP2, MISSING, NULL_SUFFIX, TARGET, WEEK
 
 logger = logging.getLogger(__name__)
@@ -61,7 +61,7 @@ def encode_counts(df: DataFrame, freqs: DataFrame, columns: list[str], spread: C
     """Replace each categorical column by the count its value has in ``freqs``, 1 if unseen.
 
     The number of values per column is looked up first and decides how the lookup runs.
-    ``freqs`` must be stored or checkpointed: it is read once per column. ``spread`` is any
+    ``freqs`` must be stored: it is read once per column. ``spread`` is any
     well-spread column; rows already answered are scattered by it in a shuffled join.
     """
     if not columns:
@@ -134,7 +134,7 @@ class Imputer:
             # One row per column reaches the driver.
             medians.update({r["col"]: r["value"] for r in median_table(df, numeric, self.medians).collect()})
         if categorical:
-            freqs = checkpointed(value_counts(df, categorical))
+            freqs = stored(value_counts(df, categorical), "frequencies")
         else:
             freqs = df.sparkSession.createDataFrame([], "col string, value string, n bigint")
         final = [c for c in df.columns if c != TARGET] + [f"{c}{NULL_SUFFIX}" for c in numeric]
@@ -225,4 +225,4 @@ class ImputerModel:
 def frequency_encode(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Replace values by how often they occur in this same table, without keeping a state."""
     texts = df.withColumns({c: category(F.col(f"`{c}`")) for c in columns})
-    return encode_counts(texts, checkpointed(value_counts(df, columns)), columns, F.col(key))
+    return encode_counts(texts, stored(value_counts(df, columns), "frequencies"), columns, F.col(key))

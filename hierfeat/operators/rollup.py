@@ -187,21 +187,54 @@ def _large_ranges(
 
 
 def rollup_categories(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    order: Sequence[str],
+    hot: HotKeys | str | None = DETECT,
 ) -> DataFrame:
     """Last, first and most frequent value per key, how often each occurs, and the number of modes.
 
-    Ties for the mode go to the greatest value. The first two steps are hash aggregations
-    that combine before they shuffle and spread a large key over its values and counts.
-    What they leave of a key is small, and the rest happens in one place.
+    Values keep their types; ties for the mode go to the greatest value. Rows of ordinary
+    keys are shuffled once and everything is grouped where they are. Rows of hot keys go
+    through aggregations that combine before they shuffle and spread a key over its values
+    and counts; ``hot`` is as in :func:`rollup_numeric`.
     """
     keys = list(keys)
     for c in columns:
         if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             raise ValueError(f"{c}: no first, last or mode for type {df.schema[c].dataType.simpleString()}")
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    texts = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
-    cells = df.select(*keys, place.alias("_at"), F.posexplode(texts).alias("_pos", "_val"))
+    rows = df.select(*keys, place.alias("_at"), *[F.col(f"`{c}`") for c in columns])
+    if isinstance(hot, str):
+        hot = find_hot_keys(df.select(*keys), keys, min(max(len(columns), 1), WIDE_COLUMNS))
+    if hot is None:
+        return _category_statistics(rows.repartition(*keys), keys, columns)
+    ordinary, heavy = split_hot(rows, keys, hot)
+    light = _category_statistics(ordinary.repartition(*keys), keys, columns)
+    return light.unionByName(_category_statistics(heavy, keys, columns))
+
+
+def _cells(df: DataFrame, columns: Sequence[str]) -> tuple[Column, dict[str, str]]:
+    """All values as one array, and the field each column has in its entries.
+
+    An entry is a struct with a field per type, all null but one; it is null where the
+    value is, and compares like the value.
+    """
+    kinds = list(dict.fromkeys(df.schema[c].dataType.simpleString() for c in columns))
+    fields = {c: f"t{kinds.index(df.schema[c].dataType.simpleString())}" for c in columns}
+    entries = []
+    for c in columns:
+        value = F.col(f"`{c}`")
+        parts = [(value if fields[c] == f"t{i}" else F.lit(None).cast(k)).alias(f"t{i}") for i, k in enumerate(kinds)]
+        entries.append(F.when(value.isNotNull(), F.struct(*parts)))
+    return F.array(*entries), fields
+
+
+def _category_statistics(df: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
+    """The statistics, in four groupings; on rows that lie together by key none of them shuffles."""
+    entries, fields = _cells(df, columns)
+    cells = df.select(*keys, "_at", F.posexplode(entries).alias("_pos", "_val"))
     per_value = cells.groupBy(*keys, "_pos", "_val").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last")
     )
@@ -211,16 +244,10 @@ def rollup_categories(
         F.max("_val").alias("_top"),
         F.count("_val").alias("_values"),
     )
-    # Few rows of a key are left, one per count its values have; both groupings below
-    # run on this one partitioning.
-    each = (
-        per_count.repartition(*keys)
-        .groupBy(*keys, "_pos")
-        .agg(
-            F.min(F.struct("_first", "_n")).alias("f"),
-            F.max(F.struct("_last", "_n")).alias("l"),
-            F.max(F.when(F.col("_values") > 0, F.struct("_n", "_top", "_values"))).alias("m"),
-        )
+    each = per_count.groupBy(*keys, "_pos").agg(
+        F.min(F.struct("_first", "_n")).alias("f"),
+        F.max(F.struct("_last", "_n")).alias("l"),
+        F.max(F.when(F.col("_values") > 0, F.struct("_n", "_top", "_values"))).alias("m"),
     )
     rows = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "f", "l", "m"))).alias("_rows"))
 
@@ -229,13 +256,12 @@ def rollup_categories(
 
     out = []
     for i, c in enumerate(columns):
-        kind = df.schema[c].dataType
         row = F.get("_rows", F.lit(i))
         first, last, mode = row["f"]["_first"]["_val"], row["l"]["_last"]["_val"], row["m"]
         out += [
-            last.cast(kind).alias(f"{c}_last"),
-            first.cast(kind).alias(f"{c}_first"),
-            mode["_top"].cast(kind).alias(f"{c}_mode"),
+            last[fields[c]].alias(f"{c}_last"),
+            first[fields[c]].alias(f"{c}_first"),
+            mode["_top"][fields[c]].alias(f"{c}_mode"),
             F.coalesce(mode["_n"], F.lit(0)).cast("bigint").alias(f"{c}_mode_count"),
             counted(last, row["l"]["_n"]).alias(f"{c}_last_count"),
             counted(first, row["f"]["_n"]).alias(f"{c}_first_count"),
@@ -263,11 +289,13 @@ def rollup_history(
     flags, numeric, other = split_columns(df, ignored)
     if not (flags or numeric or other):
         return distinct_keys(df, keys)
+    if isinstance(hot, str):
+        hot = find_hot_keys(df.select(*keys), keys, WIDE_COLUMNS)
     parts = []
     if flags or numeric:
         parts.append(rollup_numeric(df, keys, numeric, flags, iqr, nan_policy, hot, null_keys))
     if other:
-        parts.append(rollup_categories(df, keys, other, order))
+        parts.append(rollup_categories(df, keys, other, order, hot))
     rolled = parts[0] if len(parts) == 1 else _by_key(parts[0], parts[1], keys, "inner", null_keys)
     names = []
     for c in df.columns:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hierfeat.session import checkpointed
+from hierfeat.session import stored
 
 # Values of one group that one task may hold in memory, over all columns.
 HOT_CELLS = 1_000_000
@@ -55,7 +55,7 @@ def find_hot_keys(
         return None
     if len(rows) <= collected:
         return HotKeys(df.sparkSession.createDataFrame(rows, found.schema))
-    return HotKeys(checkpointed(found))
+    return HotKeys(stored(found, "hot-keys"))
 
 
 def listed_in(df: DataFrame, keys: Sequence[str], table: DataFrame, how: str) -> DataFrame:

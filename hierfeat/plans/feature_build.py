@@ -20,7 +20,7 @@ from hierfeat.operators.impute import Imputer, ImputerModel
 from hierfeat.operators.rollup import WIDE_COLUMNS, rollup_children, rollup_history
 from hierfeat.operators.sampling import stratified_sample
 from hierfeat.operators.skew import HotKeys, find_hot_keys
-from hierfeat.session import checkpointed
+from hierfeat.session import stored
 from hierfeat.sources.export import export_chunks, export_profile, export_table
 from hierfeat.sources.shards import scan_table
 from hierfeat.spec import CASE, BuildConfig, HierarchySpec, TableSpec
@@ -56,8 +56,10 @@ def assemble_matrix(
     joined = []
     for table in spec.at_depth(1):
         history, hot = rows(table)
-        history = attach_children(history, children[table.name])
-        joined.append(rollup_history(history, order=table.order_columns, iqr=iqr, hot=hot))
+        if children[table.name]:
+            # Joined once; numbers and categories then each read their own columns of it.
+            history = stored(attach_children(history, children[table.name]), "history")
+        joined.append(rollup_history(history, order=table.order_columns, iqr=iqr, hot=hot, null_keys=False))
     joined += [rows(table)[0] for table in spec.at_depth(0)]
     return fill_joined_flags(join_to_base(base, joined))
 
@@ -79,10 +81,11 @@ class FeatureBuild:
         ids = None
         if not config.is_inference and 0.0 < config.sample_ratio < 1.0:
             # Every table is restricted by them; drawn once.
-            ids = checkpointed(
+            ids = stored(
                 stratified_sample(
                     read(spec.base), config.sample_ratio, random_state=config.seed, exact=config.exact_sample
-                )
+                ),
+                "sample",
             )
         state = f"{config.artifact_dir}/imputer_state"
         if config.is_inference:
@@ -91,7 +94,7 @@ class FeatureBuild:
             features = model.transform(assemble_matrix(read, spec, ids))
         else:
             # Fitting reads the matrix several times; it is stored once instead.
-            matrix = checkpointed(assemble_matrix(read, spec, ids))
+            matrix = stored(assemble_matrix(read, spec, ids), "matrix")
             model = Imputer().fit(matrix)
             model.save(state)
             features = model.transform_training(matrix)

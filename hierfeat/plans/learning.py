@@ -17,7 +17,7 @@ from hierfeat.operators.prepare import (
 )
 from hierfeat.operators.scale import ScalerModel, moments
 from hierfeat.operators.score import ScoringModel, scaled_vector
-from hierfeat.session import checkpointed
+from hierfeat.session import stored
 from hierfeat.sources.state import save_features
 from hierfeat.spec import CASE, TARGET, WEEK
 
@@ -50,7 +50,7 @@ def learn(
     scaled = train.select(scaled_vector(scaler).alias("x"))
     encoder, _ = fit_encoder(scaled, "x", min(latent_dim, len(features)))
     vectors = prepared.select(*keep, scaled_vector(scaler).alias("x"))
-    latents = checkpointed(apply_network(vectors, encoder, "x", "z", keep))
+    latents = stored(apply_network(vectors, encoder, "x", "z", keep), "latents")
     known, _ = split_by_week(latents, val_weeks)
     head = fit_head(add_chunk_weights(known.filter(F.col(TARGET).isNotNull()), chunk), weight="weight")
     model = ScoringModel(scaler, encoder, head)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hierfeat.operators.evaluate import energy_summary
 from hierfeat.operators.score import ScoringModel
 from hierfeat.plans.feature_build import FeatureBuild
-from hierfeat.session import checkpointed
+from hierfeat.session import stored
 from hierfeat.sources.export import export_scores
 from hierfeat.sources.state import load_features
 from hierfeat.spec import BuildConfig, HierarchySpec
@@ -25,7 +25,7 @@ def score_test_set(
     model = ScoringModel.load(spark, f"{config.artifact_dir}/model", features)
     table = FeatureBuild(spec, config).run(spark, export=False)
     # Written, summarised and returned: scored once.
-    scored = checkpointed(model.score(table))
+    scored = stored(model.score(table), "scores")
     export_scores(scored, output_path)
     summary = energy_summary(scored)
     row = summary.first()

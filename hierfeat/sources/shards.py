@@ -15,22 +15,9 @@ from hierfeat.spec import SUFFIX_TYPES
 NULL = "null"
 # Whole-number types from narrow to wide.
 WHOLE = ["tinyint", "smallint", "int", "bigint", "decimal(20,0)"]
-# Parquet (Arrow) type names and what Spark reads them as, where the names differ.
-ARROW_TO_SPARK = {
-    "int8": "tinyint",
-    "int16": "smallint",
-    "int32": "int",
-    "int64": "bigint",
-    "uint8": "smallint",
-    "uint16": "int",
-    "uint32": "bigint",
-    "uint64": "decimal(20,0)",
-    "bool": "boolean",
-    "large_string": "string",
-    "string_view": "string",
-    "halffloat": "float",
-    "date32[day]": "date",
-}
+# Digits that a whole number of each type may have.
+DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+MOST_DIGITS = 38
 
 
 def list_shards(spark: SparkSession, table: str, data_dir: str) -> list[str]:
@@ -53,8 +40,8 @@ def relevant_files(spark: SparkSession, data_dir: str) -> list[str]:
     return sorted(found.inputFiles())
 
 
-def read_footers(spark: SparkSession, paths: list[str]) -> list[tuple[dict[str, str], list[str]]]:
-    """Distinct sets of stored column types, each with the sorted paths that have it.
+def read_footers(spark: SparkSession, paths: list[str]) -> list[tuple[set[str], list[str]]]:
+    """Distinct sets of stored column types: the columns stored as null, and the sorted paths.
 
     The footers are read by the executors, and each set of types reaches the driver once.
     Spark itself shows a column stored as null as a number; the footer tells them apart.
@@ -80,20 +67,10 @@ def read_footers(spark: SparkSession, paths: list[str]) -> list[tuple[dict[str,
         .agg(F.sort_array(F.collect_list("path")).alias("paths"))
         .collect()
     )
-    found = [({n: spark_name(t) for n, t in json.loads(r["types"])}, r["paths"]) for r in alike]
+    found = [({n for n, t in json.loads(r["types"]) if t == NULL}, r["paths"]) for r in alike]
     return sorted(found, key=lambda kind: kind[1])
 
 
-def spark_name(arrow: str) -> str:
-    if arrow.startswith("timestamp"):
-        return "timestamp" if "tz=" in arrow else "timestamp_ntz"
-    if arrow.startswith("dictionary"):
-        return "string"
-    if arrow.startswith("decimal"):
-        return "decimal(" + arrow.split("(")[1].replace(" ", "")
-    return ARROW_TO_SPARK.get(arrow, arrow)
-
-
 def common_type(column: str, names: Iterable[str]) -> str | None:
     """Type that holds the values of all shards; None leaves the column as it is.
 
@@ -110,12 +87,27 @@ def common_type(column: str, names: Iterable[str]) -> str | None:
     if kinds <= {*WHOLE, "boolean"}:
         return max(kinds - {"boolean"}, key=WHOLE.index)
     if all(k in (*WHOLE, "boolean", "float", "double") or k.startswith("decimal") for k in kinds):
-        return "double"
+        return wider_decimal(kinds - {"boolean"}) or "double"
     if kinds <= {"date", "timestamp", "timestamp_ntz"}:
         return "timestamp" if "timestamp" in kinds else "timestamp_ntz"
     raise ValueError(f"{column}: no common type for {sorted(kinds)}")
 
 
+def wider_decimal(kinds: set[str]) -> str | None:
+    """The decimal that holds all digits of decimals and whole numbers; None if there is none."""
+    before, after = 0, 0
+    for kind in kinds:
+        if kind in DIGITS:
+            whole, scale = DIGITS[kind], 0
+        elif kind.startswith("decimal"):
+            precision, scale = map(int, kind[len("decimal(") : -1].split(","))
+            whole = precision - scale
+        else:
+            return None
+        before, after = max(before, whole), max(after, scale)
+    return f"decimal({before + after},{after})" if before + after <= MOST_DIGITS else None
+
+
 def union_tables(
     tables: list[tuple[DataFrame, dict[str, str]]], allow_missing: bool = False
 ) -> DataFrame:
@@ -164,5 +156,8 @@ def scan_table(spark: SparkSession, table: str, data_dir: str, allow_missing: bo
     paths = list_shards(spark, table, data_dir)
     if len(paths) == 1:
         return spark.read.parquet(paths[0])
-    alike = read_footers(spark, paths)
-    return union_tables([(spark.read.parquet(*files), types) for types, files in alike], allow_missing)
+    tables = []
+    for nulls, files in read_footers(spark, paths):
+        df = spark.read.parquet(*files)
+        tables.append((df, {c: NULL if c in nulls else kind for c, kind in declared_types(df).items()}))
+    return union_tables(tables, allow_missing)

@@ -175,3 +175,25 @@ def test_null_key_is_a_group_whatever_the_width_and_size(spark):
         assert sorted(r["case_id"] or 0 for r in found.collect()) == [0, 1, 2]
         assert records(forced) == records(found)
         assert rollup_history(table, null_keys=False).count() == 2
+
+
+def test_category_values_keep_their_type_in_any_time_zone(spark):
+    """Two instants of the hour that is repeated when daylight saving ends stay two values."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [(1, 0, 1604206800), (1, 1, 1604210400), (1, 2, 1604210400)]
+        df = spark.createDataFrame(rows, "case_id int, num_group1 int, s bigint")
+        df = df.selectExpr("case_id", "num_group1", "timestamp_seconds(s) AS at", "s > 1604206800 AS flag", "string(num_group1) AS t")
+        row = rollup_categories(df, ["case_id"], ["at", "flag", "t"], ["num_group1"]).selectExpr(
+            "unix_seconds(at_last) AS last", "at_last_count", "at_n_modes", "unix_seconds(at_mode) AS mode", "flag_mode", "t_n_modes", "t_mode"
+        )
+        assert tuple(row.first()) == (1604210400, 2, 1, 1604210400, True, 3, "2")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_ordinary_categories_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 1, "a", True)], "case_id int, num_group1 int, c string, d boolean")
+    plan = rollup_categories(df, ["case_id"], ["c", "d"], ["num_group1"], hot=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

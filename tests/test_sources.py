@@ -73,6 +73,27 @@ def test_missing_columns_only_on_request(spark, tmp_path):
     assert rows == [{"a": 1, "b": 1}, {"a": 2, "b": None}]
 
 
+def test_nested_binary_and_decimal_columns(spark, tmp_path):
+    """Also where another column has drifted, so that the shards are cast."""
+    from decimal import Decimal
+
+    for i, kind in enumerate([pa.int32(), pa.float64()]):
+        write(
+            tmp_path / f"t_{i}.parquet",
+            case_id=pa.array([i], pa.int64()),
+            drift=pa.array([i], kind),
+            items=pa.array([[1, 2]], pa.list_(pa.int64())),
+            pair=pa.array([{"a": 1, "b": "x"}], pa.struct([("a", pa.int32()), ("b", pa.string())])),
+            tags=pa.array([[("k", 1)]], pa.map_(pa.string(), pa.int32())),
+            raw=pa.array([b"z"], pa.binary(1)),
+            money=pa.array([Decimal("12345678901234567.89")], pa.decimal128(19 + i, 2)),
+        )
+    rows = scan_table(spark, "t", str(tmp_path)).orderBy("case_id").collect()
+    for i, r in enumerate(rows):
+        assert (r["case_id"], r["drift"], r["items"], r["pair"]["b"]) == (i, float(i), [1, 2], "x")
+        assert r["tags"] == {"k": 1} and bytes(r["raw"]) == b"z" and r["money"] == Decimal("12345678901234567.89")
+
+
 def test_absent_table_is_an_error(spark, tmp_path):
     with pytest.raises(AnalysisException):
         scan_table(spark, "nothing", str(tmp_path))
@@ -93,6 +114,11 @@ def test_absent_table_is_an_error(spark, tmp_path):
         ("x", ["bigint", "string"], "string"),
         ("x", ["boolean", "int"], "int"),
         ("x", ["date", "timestamp_ntz"], "timestamp_ntz"),
+        ("x", ["decimal(19,2)", "decimal(10,4)"], "decimal(21,4)"),
+        ("x", ["decimal(4,2)", "bigint"], "decimal(21,2)"),
+        ("x", ["decimal(38,0)", "decimal(38,9)"], "double"),
+        ("x", ["decimal(4,2)", "double"], "double"),
+        ("x", ["array<bigint>", "null"], "array<bigint>"),
     ],
 )
 def test_common_type(column, kinds, expected):
