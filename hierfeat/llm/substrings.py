@@ -29,6 +29,7 @@ SEGMENT = 1 << 20
 #: Grams with so many different surroundings among the anchors of one block are grouped by whole
 #: strings instead, so that no group is large.
 CROWDED = 8
+MOST_CROWDED = 200_000
 BLOCK_ROWS = 1 << 19
 #: Anchors whose strings are sorted together.
 CHUNK_ROWS = 1 << 14
@@ -179,7 +180,10 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def crowded_grams(rows: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Grams with many different surroundings. Each block of anchors names few, so the list stays short."""
+    """Grams with many different surroundings in some block of anchors; the most crowded ones if they are many.
+
+    The list only decides how anchors are grouped, not what is found.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of_anchors(batches, length, gram, None):
@@ -187,11 +191,12 @@ def crowded_grams(rows: DataFrame, length: int, gram: int) -> np.ndarray:
             order = np.lexsort((block["around"], block["gram"]))
             first = np.concatenate([[True], number[1:] != number[:-1]])
             grams, n = np.unique(block["gram"][order][first], return_counts=True)
-            some = grams[n >= CROWDED].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(some)], ["gram"])
+            some = n >= CROWDED
+            yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some])], ["gram", "n"])
 
-    found = rows.select("doc", "row", "text").mapInArrow(run, "gram bigint").distinct().collect()
-    return np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+    named = rows.select("doc", "row", "text").mapInArrow(run, "gram bigint, n bigint")
+    most = named.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_CROWDED)
+    return np.array([r["gram"] for r in most.select("gram").collect()], np.int64).view(np.uint64)
 
 
 def leading_anchors(rows: DataFrame, length: int, gram: int, crowded: np.ndarray) -> DataFrame:
