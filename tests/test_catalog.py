@@ -11,9 +11,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_queries import compare, rows_of  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from hierfeat.catalog import QUERIES, SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,13 @@ def db():
 
 def test_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql()) <= set(queries())
+
+
+def test_history_is_joined_once(spark):
+    """The matrix reads the joined history from storage, once for numbers and once for categories."""
+    plan = QUERIES["feature_matrix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and plan.count("Generate posexplode") == 1
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
