@@ -26,6 +26,8 @@ LENGTHS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Texts counted at once; bounds the table of texts by buckets.
 ROWS = 64
+#: Characters of a text counted at once.
+STRETCH = 1 << 20
 #: A best language whose share of the decoding is below this is ambiguous.
 CLEAR = 0.6
 UNKNOWN = "und"
@@ -74,12 +76,18 @@ def ngrams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def counted(texts: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """N-gram counts of ``ROWS`` texts at a time: first row, table, letters."""
+    """N-gram counts of ``ROWS`` texts at a time: first row, table, letters.
+
+    Long texts are counted a stretch at a time; n-grams do not cross stretches.
+    """
     for at in range(0, len(texts), ROWS):
         some = texts[at : at + ROWS]
-        bucket, owner, n = ngrams(some, buckets)
-        table = np.bincount(owner * buckets + bucket, minlength=len(some) * buckets)
-        yield at, table.reshape(len(some), buckets).astype(np.float64), n
+        total, letters_ = np.zeros(len(some) * buckets), np.zeros(len(some), np.int64)
+        for start in range(0, max(1, max(map(len, some))), STRETCH):
+            bucket, owner, n = ngrams([t[start : start + STRETCH] for t in some], buckets)
+            total += np.bincount(owner * buckets + bucket, minlength=len(total))
+            letters_ += n
+        yield at, total.reshape(len(some), buckets), letters_
 
 
 def codewords(classes: int) -> np.ndarray:

@@ -92,8 +92,13 @@ def word_hashes(w: Words) -> np.ndarray:
     if not len(w.starts):
         return np.zeros(0, np.uint64)
     lengths = w.ends - w.starts
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inside = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-    at = inside + np.repeat(w.starts, lengths)
-    terms = BYTE_VALUE[w.data[at]] * powers(int(lengths.max()), STEP)[inside]
-    return mixed(np.add.reduceat(terms, heads))
+    power = powers(int(lengths.max()), STEP)
+    # The numbers of a long text are made a part at a time.
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // PIECE_BYTES)) + 1
+    found = []
+    for starts, size in zip(np.split(w.starts, cuts), np.split(lengths, cuts)):
+        heads = np.concatenate([[0], np.cumsum(size)[:-1]])
+        inside = np.arange(int(size.sum())) - np.repeat(heads, size)
+        terms = BYTE_VALUE[w.data[inside + np.repeat(starts, size)]] * power[inside]
+        found.append(np.add.reduceat(terms, heads))
+    return mixed(np.concatenate(found))
