@@ -49,9 +49,13 @@ class DigestIndex:
         return self.spark.read.schema("digest string, keep_id bigint, batch string").parquet(self.folder)
 
     def missing(self, digests: DataFrame) -> DataFrame:
-        """Of a table with one row per digest, the rows whose digest the index lacks."""
+        """Of a table with one row per digest, the rows whose digest the index lacks.
+
+        Spark deals the rows out like the buckets, so each task meets one bucket of the index and
+        writes one file to it.
+        """
         known = self.by_bucket().select("digest").hint("merge")
-        return digests.repartition(self.buckets, "digest").join(known, "digest", "left_anti")
+        return digests.join(known, "digest", "left_anti")
 
     def append(self, digests: DataFrame, batch: str) -> None:
         """Add the missing ones of ``digest``, ``keep_id``; one file for each bucket and batch."""
