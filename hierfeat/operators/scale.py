@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 EPS = 1e-8
 CLAMP = 10.0
+# Columns aggregated in one pass; each pass reads its own columns only.
+BLOCK = 100
 
 
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -19,15 +21,22 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     Rows are partial states: :func:`merge_moments` joins those of several chunks or days
     without reading the data again.
     """
-    entries = [
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("_v"))
-        for i, c in enumerate(columns)
-    ]
-    cells = df.select(*by, F.inline(F.array(*entries)))
-    v = F.col("_v")
-    return cells.groupBy(*by, "pos", "col").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")
-    )
+    parts = [_block_moments(df, list(enumerate(columns))[at : at + BLOCK], by) for at in range(0, len(columns), BLOCK)]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _block_moments(df: DataFrame, block: Sequence[tuple[int, str]], by: Sequence[str]) -> DataFrame:
+    """Moments of some columns side by side; only the result goes to one row per column."""
+    aggregates, entries = [], []
+    for i, c in block:
+        v = F.col(f"`{c}`").cast("double")
+        state = F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+        aggregates.append(state.alias(f"_s{i}"))
+        entries.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("col"), *[F.col(f"_s{i}.{m}") for m in ("n", "mean", "m2")]))
+    return df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*entries)))
 
 
 def merge_moments(parts: DataFrame) -> DataFrame:
