@@ -26,10 +26,12 @@ LENGTH = 100
 #: Bytes of an anchor's gram. Longer grams mean fewer chance meetings, but more anchors.
 GRAM = 24
 SEGMENT = 1 << 20
-#: Grams with so many different surroundings among the anchors of one block are grouped by whole
-#: strings instead, so that no group is large.
-CROWDED = 8
+#: Grams with so many different surroundings are grouped by whole strings instead, so that no group is
+#: large. Blocks of anchors name those of which they have ``NAMED`` or more.
+CROWDED = 20_000
+NAMED = 8
 MOST_CROWDED = 200_000
+SPREAD = 1 << 14
 BLOCK_ROWS = 1 << 19
 #: Anchors whose strings are sorted together.
 CHUNK_ROWS = 1 << 14
@@ -118,7 +120,9 @@ def segments(texts: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarra
         at += len(piece)
 
 
-FIELDS = ("gram", "around", "doc", "row", "low", "high", "place")
+#: ``where`` holds the first start, the number of starts less one, and how far the gram lies behind the last.
+FIELDS = ("gram", "around", "doc", "row", "where")
+PACK = 10
 SCHEMA = ", ".join(f"{f} bigint" for f in FIELDS) + ", spare boolean"
 
 
@@ -127,6 +131,17 @@ def as_batch(columns: dict[str, np.ndarray], spare: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*arrays, pa.array(spare)], [*FIELDS, "spare"])
 
 
+def packed(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (low << 2 * PACK) | ((high - low) << PACK) | (place - high)
+
+
+def unpacked(where: np.ndarray) -> dict[str, np.ndarray]:
+    mask = (1 << PACK) - 1
+    low = where >> 2 * PACK
+    high = low + ((where >> PACK) & mask)
+    return {"low": low, "high": high, "place": high + (where & mask)}
+
+
 def blocks_of_anchors(
     batches: Iterator[pa.RecordBatch], length: int, gram: int, crowded: np.ndarray | None
 ) -> Iterator[dict[str, np.ndarray]]:
@@ -158,9 +173,9 @@ def blocks_of_anchors(
                     }
                     a = {k: np.concatenate([a[k][~hit], single[k]]) for k in single}
                     text, begin = (np.concatenate([x[~hit], x[which]]) for x in (text, begin))
-            for k in ("place", "low", "high"):
-                a[k] = a[k] - begin
-            parts.append(a | {"doc": doc[at + text], "row": row[at + text]})
+            where = packed(a["low"] - begin, a["high"] - begin, a["place"] - begin)
+            whose = {"doc": doc[at + text], "row": row[at + text], "where": where}
+            parts.append({"gram": a["gram"], "around": a["around"]} | whose)
             size += len(text)
             if size >= BLOCK_ROWS:
                 yield {k: np.concatenate([p[k] for p in parts]) for k in FIELDS}
@@ -180,7 +195,7 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def crowded_grams(rows: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Grams with many different surroundings in some block of anchors; the most crowded ones if they are many.
+    """Grams with many different surroundings, the most crowded ones if they are many.
 
     The list only decides how anchors are grouped, not what is found.
     """
@@ -191,30 +206,32 @@ def crowded_grams(rows: DataFrame, length: int, gram: int) -> np.ndarray:
             order = np.lexsort((block["around"], block["gram"]))
             first = np.concatenate([[True], number[1:] != number[:-1]])
             grams, n = np.unique(block["gram"][order][first], return_counts=True)
-            some = n >= CROWDED
+            some = n >= NAMED
             yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some])], ["gram", "n"])
 
     named = rows.select("doc", "row", "text").mapInArrow(run, "gram bigint, n bigint")
-    most = named.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_CROWDED)
+    sums = named.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= CROWDED)
+    most = sums.orderBy(F.desc("n"), "gram").limit(MOST_CROWDED)
     return np.array([r["gram"] for r in most.select("gram").collect()], np.int64).view(np.uint64)
 
 
 def leading_anchors(rows: DataFrame, length: int, gram: int, crowded: np.ndarray) -> DataFrame:
     """All anchors; of those of one block with equal surroundings all but the first are marked ``spare``.
 
-    What is spare is known to be removed, so it needs no company: its gram is replaced by a number
-    that spreads such rows evenly.
+    What is spare is known to be removed, so it needs no company: its gram is replaced by one of a few
+    numbers that spread such rows evenly.
     """
     shipped = rows.sparkSession.sparkContext.broadcast((crowded,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of_anchors(batches, length, gram, shipped.value[0]):
-            order = np.lexsort((block["low"], block["row"], block["doc"], block["around"], block["gram"]))
+            order = np.lexsort((block["where"], block["row"], block["doc"], block["around"], block["gram"]))
             block = {k: v[order] for k, v in block.items()}
             spare = np.zeros(len(order), bool)
             spare[1:] = (block["gram"][1:] == block["gram"][:-1]) & (block["around"][1:] == block["around"][:-1])
-            spread = mixed(block["row"].astype(np.uint64) * STEP + block["low"].astype(np.uint64))
-            block["gram"] = np.where(spare, spread, block["gram"])
+            spread = mixed(block["row"].astype(np.uint64) * STEP + block["where"].astype(np.uint64))
+            block["gram"] = np.where(spare, spread % np.uint64(SPREAD), block["gram"])
+            block["around"] = np.where(spare, np.uint64(0), block["around"])
             yield as_batch(block, spare)
 
     return rows.select("doc", "row", "text").mapInArrow(run, SCHEMA)
@@ -227,8 +244,8 @@ def judged_anchors(leading: DataFrame) -> DataFrame:
     but the first are removed; the first ones are compared if their gram has several. What stands
     alone is left out.
     """
-    together = leading.repartition("gram").sortWithinPartitions("gram", "around", "doc", "row", "low")
-    out = ["row", "low", "high", "place", "gram"]
+    together = leading.repartition("gram").sortWithinPartitions("gram", "around", "doc", "row", "where")
+    out = ["row", "where", "gram"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead_before: dict[str, np.ndarray] | None = None  # the last anchor that is first of its kind
@@ -257,6 +274,8 @@ def judged_anchors(leading: DataFrame) -> DataFrame:
                 last = int(index[-1])
                 told = bool(several[-1]) or (told and carried and last == 0)
                 lead_before = {c: v[last : last + 1] for c, v in now.items()}
+            # What is removed needs its gram no more.
+            now["gram"] = np.where(removed, 0, now["gram"])
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(now[c][give]) for c in out], pa.array(removed[give])], [*out, "removed"]
             )
@@ -266,7 +285,7 @@ def judged_anchors(leading: DataFrame) -> DataFrame:
 
 def surroundings(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The bytes of the strings of each anchor, fetched from its text."""
-    fields = ["gram", "low", "high", "place"]
+    fields = ["gram", "where"]
     by_row = asked.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("asked"))
     doc = F.coalesce(F.col("key").cast("bigint"), F.lit(LAST)).alias("doc")
     joined = texts.join(by_row, "row").select("row", doc, "text", "asked")
@@ -281,7 +300,8 @@ def surroundings(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             for text, row, own, n in zip(batch.column("text"), batch.column("row"), batch.column("doc"), counts):
                 data = text.as_py().encode()
                 part = {f: columns[f][at : at + n] for f in fields}
-                bytes_ = [data[a : b + length] for a, b in zip(part["low"], part["high"])]
+                span = unpacked(part["where"])
+                bytes_ = [data[a : b + length] for a, b in zip(span["low"].tolist(), span["high"].tolist())]
                 at += n
                 same = [pa.array(np.full(n, own.as_py())), pa.array(np.full(n, row.as_py()))]
                 yield pa.RecordBatch.from_arrays(
@@ -295,7 +315,7 @@ def surroundings(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 def compared(around: DataFrame, length: int) -> DataFrame:
     """Spans of the strings that another anchor of the same gram holds earlier."""
     together = around.repartition("gram").sortWithinPartitions("gram")
-    numbers = ["gram", "low", "high", "place", "doc", "row"]
+    numbers = ["gram", "where", "doc", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -324,6 +344,7 @@ def compared(around: DataFrame, length: int) -> DataFrame:
 def repeats(members: pa.Table, numbers: list[str], length: int) -> pa.RecordBatch:
     """Sort all strings of some anchors and give the spans of those that are not the first of their kind."""
     m = {c: members.column(c).to_numpy() for c in numbers}
+    m |= unpacked(m["where"])
     texts = members.column("bytes").combine_chunks()
     data, bounds = bytes_of(texts.cast(pa.large_binary()) if not isinstance(texts, pa.ChunkedArray) else texts.chunk(0).cast(pa.large_binary()))
     n = m["high"] - m["low"] + 1
@@ -355,7 +376,9 @@ def spans_and_texts(docs: DataFrame, key: str, text: str, length: int, gram: int
     # Used twice, shuffled once: both joins read the same exchange.
     texts = rows.select("row", "key", "text").repartition("row")
     near = compared(surroundings(judged.filter("NOT removed"), texts, length), length)
-    spans = judged.filter("removed").select("row", F.col("low").alias("start"), (F.col("high") + length).alias("end")).unionByName(near)
+    low = F.shiftright("where", 2 * PACK)
+    high = low + F.shiftright("where", PACK).bitwiseAND((1 << PACK) - 1)
+    spans = judged.filter("removed").select("row", low.alias("start"), (high + length).alias("end")).unionByName(near)
     by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(by_row, "row", "left")
 
@@ -410,6 +433,8 @@ def without_repeats(
     first stays. An empty table gives an empty result; other columns are not read. The table must
     read the same twice, as files do.
     """
+    if not 0 < gram <= length < 1 << PACK:
+        raise ValueError(f"a gram must fit its string, and the string {1 << PACK} bytes: {gram}, {length}")
     found = spans_and_texts(docs, key, text, length, gram)
     kept = kept_column(F.col("text"), F.col("spans"), with_bytes)
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else [])]

@@ -55,6 +55,7 @@ def corpus(seed, n, letters):
 def test_equals_brute_force(spark, monkeypatch, length, gram, letters, crowded):
     """Also with grams grouped by whole strings, in small blocks, chunks and segments."""
     monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(substrings, "NAMED", min(crowded, 2))
     if crowded == 2:
         monkeypatch.setattr(substrings, "BLOCK_ROWS", 50)
         monkeypatch.setattr(substrings, "CHUNK_ROWS", 16)
