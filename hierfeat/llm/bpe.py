@@ -26,6 +26,9 @@ from hierfeat.llm.words import pieces
 #: Texts are encoded in parts of about this many characters, so that the library's
 #: records of one part stay small.
 PART_CHARS = 1 << 16
+#: Characters of the encoded matches in one of the two generations that a worker keeps; some 40 MB with their ids.
+KEPT_CHARS = 1_500_000
+LATIN = re.compile("[\0-\u024f]*")
 # A space between two ASCII letters always starts a match of the usual patterns; parts end before one.
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -72,6 +75,7 @@ class Codec:
 
     def __init__(self, tokens: tuple[bytes, ...], ids: tuple[int, ...], pattern: str, whole_matches: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
+        import regex
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         letters, rank = byte_characters(), dict(zip(tokens, ids))
@@ -93,6 +97,11 @@ class Codec:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ]
         )
+        own = regex.compile(pattern)
+        self.pattern = None if own.groups else own
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept_chars = 0
         byte_of = {c: b for b, c in enumerate(letters)}
         self.table = {r: bytes(byte_of[c] for c in shown[t]) for t, r in rank.items()}
         width = max(ids) + 1 if ids else 1
@@ -111,15 +120,58 @@ class Codec:
         yield text[start:]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            for part in self.parts(text):
-                parts.append(part)
-                owner.append(i)
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        for i, e in zip(owner, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            out[i].append(np.array(e.ids, np.uint32))
-        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+        """Ids of every text. Matches repeat a lot, so each new one is encoded once and kept.
+
+        Classes of characters may differ between the libraries for rare scripts: texts with other
+        than Latin characters are cut by the tokenizers library itself.
+        """
+        found: list[list[bytes]] = [[] for _ in texts]
+        parts = ((i, part) for i, text in enumerate(texts) for part in self.parts(text))
+        # Some parts at a time, so a long text is never taken apart as a whole.
+        while some := self.next_parts(parts):
+            cut = [self.matches(part) for _, part in some]
+            self.keep([x for x in cut if x])
+            for (i, part), own in zip(some, cut):
+                if own is None:
+                    found[i].append(self.raw(self.tokenizer.encode(part, add_special_tokens=False)))
+                else:
+                    found[i].append(b"".join(map(self.kept.__getitem__, own)))
+        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+
+    @staticmethod
+    def next_parts(parts: Iterator[tuple[int, str]]) -> list[tuple[int, str]]:
+        some, size = [], 0
+        for part in parts:
+            some.append(part)
+            size += len(part[1])
+            if size >= 16 * PART_CHARS:
+                break
+        return some
+
+    def keep(self, cut: list[list[str]]) -> None:
+        """Have the ids of these matches at hand, and those of the matches before as far as there is room.
+
+        Two generations are kept: when one is full the older one goes, and what is still in use
+        moves on without being encoded again.
+        """
+        if self.kept_chars > KEPT_CHARS:
+            self.older, self.kept, self.kept_chars = self.kept, {}, 0
+        new = {m for part in cut for m in part if m not in self.kept}
+        self.kept_chars += sum(map(len, new))
+        unseen = [m for m in new if m not in self.older]
+        self.kept.update((m, self.older[m]) for m in new if m in self.older)
+        self.kept.update(zip(unseen, map(self.raw, self.tokenizer.encode_batch(unseen, add_special_tokens=False))))
+
+    @staticmethod
+    def raw(encoding) -> bytes:
+        return np.array(encoding.ids, "<u4").tobytes()
+
+    def matches(self, part: str) -> list[str] | None:
+        """The matches that make up a part, or None if the library must find them."""
+        if self.pattern is None or not LATIN.fullmatch(part):
+            return None
+        found = self.pattern.findall(part)
+        return found if sum(map(len, found)) == len(part) else None
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Bounds of the tokens in the bytes of the text: token ``k`` covers ``[k]`` to ``[k + 1]``."""
