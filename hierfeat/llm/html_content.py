@@ -45,6 +45,8 @@ CONTENT_NAMES = frozenset(
 )
 BOILER_TAGS = frozenset("aside footer menu dialog".split()) | HIDDEN
 CONTENT_TAGS = frozenset("article main".split())
+#: Names that begin so tell of a page's parts or subjects, not of the block: has-sidebar, category-social.
+ABOUT = frozenset("has no with without not category tag".split())
 
 # Labelled pages of common layouts: blocks with data-content are content, with all in them that is not boilerplate.
 PROSE = "The council met on Tuesday, and after a long debate it agreed on the plan. Work is to begin in spring, the mayor said."
@@ -82,14 +84,22 @@ def name_kinds(block: Block, boiler: frozenset[str] = BOILER_NAMES) -> tuple[boo
 def closed(block: Block) -> bool:
     """Whether a block says of itself that it is boilerplate, by its tag or a name.
 
-    Names of a whole page often list its parts, and the header of an article belongs to it.
+    Names of a whole page often list its parts, and the header of an article belongs to it. A content
+    name wins over a single bad part, an article tag over one inside a longer name. What holds here
+    is not content yet: the messages decide. Forms are judged in ``shut_off``, by what they hold.
     """
-    if block.tag in BOILER_TAGS:
+    if block.tag in BOILER_TAGS and block.tag != "form":
         return True
     if not block.names or block.tag in ("#page", "html", "body", "main"):
         return False
-    bad, good, _ = name_kinds(block)
-    return bad and not (good and not name_kinds(block, BOILER_NAMES - {"header"})[0])
+    words = block.names.split()
+    told = [re.split(r"[-_]", w) for w in words]
+    bad = {p for w, parts in zip(words, told) if parts[0] not in ABOUT for p in (w, *parts)} & BOILER_NAMES
+    if CONTENT_NAMES.intersection(words):
+        return len(bad) > 1
+    if block.tag == "article":
+        return len(bad) > 1 or not bad.isdisjoint(words)
+    return bool(bad) and not (name_kinds(block)[1] and bad == {"header"})
 
 
 def features(blocks: list[Block], own: list[int], linked: list[int], marks: list[int]) -> list[list[str]]:
@@ -105,7 +115,7 @@ def features(blocks: list[Block], own: list[int], linked: list[int], marks: list
             f"marks {size > 0} {min(marks[i], 3)}",
             f"known {bad} {good}",
         ]
-        found += [f"name {zlib.crc32(w.encode('utf-8', 'surrogatepass')) % NAME_BUCKETS}" for w in words[:16]]
+        found += [f"name {zlib.crc32(w.encode('utf-8', 'surrogatepass')) % NAME_BUCKETS}" for w in words]
         out.append(found)
     return out
 
@@ -134,10 +144,19 @@ def labels(blocks: list[Block]) -> list[int]:
 
 
 def shut_off(blocks: list[Block]) -> list[bool]:
-    """Blocks that are boilerplate by their own word or that of a block around them."""
-    shut = [False] * len(blocks)
+    """Blocks that are boilerplate by their own word or that of a block around them.
+
+    A form is, unless it holds an article, a content name or a main heading: some pages are one form.
+    """
+    shut, full = [closed(b) for b in blocks], [False] * len(blocks)
+    shut[:1] = [False]
+    for i in range(len(blocks) - 1, 0, -1):
+        b = blocks[i]
+        own = b.tag in CONTENT_TAGS or b.tag == "h1" or b.marked or not CONTENT_NAMES.isdisjoint(b.names.split())
+        if not shut[i] and (own or full[i]):
+            full[b.parent] = True
     for i, b in enumerate(blocks[1:], 1):
-        shut[i] = shut[b.parent] or closed(b)
+        shut[i] = shut[b.parent] or shut[i] or (b.tag == "form" and not full[i])
     return shut
 
 

@@ -90,3 +90,23 @@ def test_awkward_table(spark):
         [(1, "u", "", 0), (1, "u", "", 0), (2, None, "Text, more <b> text.", 20), (None, "v", "", 0)]
     )
     assert H.main_texts(df.limit(0)).count() == 0
+
+
+STORY = "<h1>A title</h1><p>The council met on Tuesday, and after a long debate it agreed.</p><p>Work begins in spring, it said.</p>"
+
+
+@pytest.mark.parametrize("taught", [False, True])
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content has-sidebar">[]</div><div class=sidebar><p>A teaser, fairly long.</p></div></body>',
+        '<body><div class="main-content no-sidebar">[]</div></body>',
+        '<body><article class="post category-social tag-search">[]</article><form><p>Sign up, it is free.</p></form></body>',
+        '<body><form id=aspnetForm><div class=menu><a href=a>x</a></div><div id=content>[]</div></form></body>',
+        "<body><form id=f>[]</form></body>",
+    ],
+)
+def test_a_bad_part_of_a_name_does_not_lose_the_article(spark, page, taught):
+    counts = taught_counts(spark) if taught else H.with_examples({})
+    want = "A title\nThe council met on Tuesday, and after a long debate it agreed.\nWork begins in spring, it said."
+    assert H.TreeModel(counts).main_text(page.replace("[]", STORY)) == want
