@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hierfeat.llm import bpe, exact, fingerprints, html_content, language, mixing, pii, quality, substrings, token_counts
+from hierfeat.llm import (
+    bpe,
+    byte_network,
+    exact,
+    fingerprints,
+    html_content,
+    language,
+    lexical,
+    mixing,
+    pii,
+    quality,
+    substrings,
+    token_counts,
+    variants,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +105,47 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read())
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), sizes AS (
+        SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0
+    ), tf AS (
+        SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+        FROM (SELECT doc_id, unnest(terms) AS term, len(terms) AS n FROM d) GROUP BY doc_id, term
+    ), wanted AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sizes GROUP BY term, docs
+    ), scores AS (
+        SELECT item_id, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+        FROM wanted JOIN tf USING (term) JOIN weights USING (term), sizes GROUP BY item_id, doc_id
+    ), ranks AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10
+    """,
+)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_quality_network")
+def quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_network.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))

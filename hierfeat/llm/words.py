@@ -73,8 +73,9 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts)[:-1]])
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
-    solid = ~SPACE[data]
+def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """The runs of bytes between those that ``space`` marks, by default the words."""
+    solid = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True
     begin = solid.copy()
