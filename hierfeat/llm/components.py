@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hierfeat.llm.shared import stored
+from hierfeat.llm.shared import removed, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     larger neighbours move to the smallest neighbour, and smaller ones do. A node sends each
     of its links at most once per turn, and minima are combined before the shuffle, so a hub
     costs no more than its links; the number of turns grows with the logarithm of the longest
-    path. Every turn is written to the shared folder.
+    path. Every turn is written to the shared folder, and the one before it is then deleted.
     """
     u, v = links.columns
     now = stored(
@@ -25,12 +25,15 @@ def components(links: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = stored(_small_star(_large_star(now)), "links")
+        earlier, now = now, stored(_small_star(_large_star(now)), "links")
+        removed(earlier)
         before, state = state, _state(now)
         if state == before:
             break
     child = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return child.union(child.select("component", "component").distinct())
+    found = child.union(child.select("component", "component").distinct())
+    found._stored_at = now._stored_at
+    return found
 
 
 def _state(links: DataFrame) -> tuple:

@@ -27,7 +27,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def removed(df: DataFrame | None) -> None:
+    """Delete the files of a table that ``stored`` has returned and that no later step reads."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
