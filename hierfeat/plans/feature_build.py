@@ -21,7 +21,7 @@ from hierfeat.operators.rollup import WIDE_COLUMNS, rollup_children, rollup_hist
 from hierfeat.operators.sampling import stratified_sample
 from hierfeat.operators.skew import HotKeys, find_hot_keys
 from hierfeat.session import stored
-from hierfeat.sources.export import export_chunks, export_profile, export_table
+from hierfeat.sources.export import export_chunk_files, export_profile, export_table
 from hierfeat.sources.shards import scan_table
 from hierfeat.spec import CASE, BuildConfig, HierarchySpec, TableSpec
 
@@ -108,7 +108,7 @@ class FeatureBuild:
         if not config.is_inference:
             export_profile(features, f"{config.output_dir}/feature_statistics")
         if config.chunked_export and not config.is_inference:
-            chunks = export_chunks(
+            chunks = export_chunk_files(
                 features, f"{config.output_dir}/chunks", config.chunk_size, prefix=f"{mode}_chunk"
             )
             logger.info("%d chunks written", len(chunks))

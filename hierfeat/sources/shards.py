@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hierfeat.session import stored
+from hierfeat.sources.files import file_table
 from hierfeat.spec import SUFFIX_TYPES
 
 NULL = "null"
@@ -108,6 +110,17 @@ def wider_decimal(kinds: set[str]) -> str | None:
     return f"decimal({before + after},{after})" if before + after <= MOST_DIGITS else None
 
 
+def common_types(tables: list[dict[str, str]], allow_missing: bool = False) -> dict[str, str | None]:
+    """The common type of each column, in the order in which columns come up."""
+    columns = list(dict.fromkeys(c for types in tables for c in types))
+    if not allow_missing:
+        for types in tables:
+            lacking = [c for c in columns if c not in types]
+            if lacking:
+                raise ValueError(f"shards differ in columns: {lacking}")
+    return {c: common_type(c, [types[c] for types in tables if c in types]) for c in columns}
+
+
 def union_tables(
     tables: list[tuple[DataFrame, dict[str, str]]], allow_missing: bool = False
 ) -> DataFrame:
@@ -115,13 +128,8 @@ def union_tables(
 
     Each table comes with its stored types, in which ``null`` marks an untyped column.
     """
-    columns = list(dict.fromkeys(c for _, types in tables for c in types))
-    if not allow_missing:
-        for _, types in tables:
-            lacking = [c for c in columns if c not in types]
-            if lacking:
-                raise ValueError(f"shards differ in columns: {lacking}")
-    target = {c: common_type(c, [t[c] for _, t in tables if c in t]) for c in columns}
+    target = common_types([types for _, types in tables], allow_missing)
+    columns = list(target)
     cast = [
         df.select(
             *[
@@ -147,17 +155,95 @@ def declared_types(df: DataFrame) -> dict[str, str]:
     }
 
 
+def footer_table(spark: SparkSession, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """``path`` and ``types`` (a JSON list of column and stored type) of every file of a table with ``path``.
+
+    Executors read the footers, and the result stays a table. A store that their client cannot open is read
+    through Spark: then ``contents`` (``path``, ``content``) gives the footers from whole files.
+    """
+
+    def by_path(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                    rows.append(json.dumps([[f.name, str(f.type)] for f in pq.read_schema(inner, filesystem=system)]))
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    rows.append(None)
+            yield pd.DataFrame({"path": batch["path"], "types": rows})
+
+    def by_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            schemas = [pq.read_schema(io.BytesIO(c)) for c in batch["content"]]
+            types = [json.dumps([[f.name, str(f.type)] for f in schema]) for schema in schemas]
+            yield pd.DataFrame({"path": batch["path"], "types": types})
+
+    found = stored(files.select("path").mapInPandas(by_path, "path string, types string"), "footers")
+    unread = found.filter("types IS NULL")
+    if contents is None or unread.isEmpty():
+        return found
+    whole = contents.join(unread.select("path"), "path", "left_semi").mapInPandas(by_content, "path string, types string")
+    return stored(found.filter("types IS NOT NULL").union(whole), "footers")
+
+
+def readable(kind: str, target: str) -> bool:
+    """Whether Spark's reader gives a column stored as ``kind`` as ``target`` by itself.
+
+    It widens whole numbers, to doubles too if these hold them exactly, floats, decimals and dates.
+    """
+    if kind == target:
+        return True
+    if kind == NULL:
+        return target in (*DIGITS, "double", "date")
+    if kind in DIGITS and target in DIGITS:
+        return WHOLE.index(kind) <= WHOLE.index(target)
+    if kind in DIGITS and target == "double":
+        return kind != "bigint"
+    if target.startswith("decimal"):
+        return (kind in DIGITS or kind.startswith("decimal")) and wider_decimal({kind, target}) == target
+    return (kind, target) in {("float", "double"), ("date", "timestamp_ntz")}
+
+
 def scan_table(spark: SparkSession, table: str, data_dir: str, allow_missing: bool = False) -> DataFrame:
     """All shards of a table as one DataFrame.
 
-    Shards with equal types are read together, so the plan has one scan per distinct
-    schema, however many files there are.
+    The footers of all files are a table; only the different sets of types, each with one of its files, reach the driver.
+    Where Spark's reader can widen every stored type to the common one, the plan is one scan of the folder, and no
+    paths are listed. What it cannot (a column stored as null that holds texts elsewhere, a whole number that became a
+    text) is cast instead: then there is one scan per set of types.
     """
-    paths = list_shards(spark, table, data_dir)
-    if len(paths) == 1:
-        return spark.read.parquet(paths[0])
+    pattern = f"{table}*.parquet"
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    footers = footer_table(spark, file_table(spark, data_dir, pattern), contents.load(data_dir).select("path", "content"))
+    kinds = sorted(footers.groupBy("types").agg(F.min("path").alias("path")).collect(), key=lambda r: r["path"])
+    if not kinds:
+        return whole.parquet(data_dir)  # an error that names the folder
+    schemas = [spark.read.parquet(r["path"]).schema for r in kinds]
+    nulls = [{n for n, t in json.loads(r["types"]) if t == NULL} for r in kinds]
+    types = [
+        {f.name: NULL if f.name in none else f.dataType.simpleString() for f in schema.fields}
+        for schema, none in zip(schemas, nulls)
+    ]
+    target = common_types(types, allow_missing)
+    if all(readable(kind, target[c] or kind) for own in types for c, kind in own.items()):
+        known = {(f.name, f.dataType.simpleString()): f.dataType for schema in schemas for f in schema.fields}
+        fields = []
+        for c, kind in target.items():
+            own = next(schema[c].dataType for schema in schemas if c in schema.names)
+            fields.append(T.StructField(c, own if kind is None else known.get((c, kind)) or T.DataType.fromDDL(kind)))
+        return whole.schema(T.StructType(fields)).parquet(data_dir)
     tables = []
-    for nulls, files in read_footers(spark, paths):
-        df = spark.read.parquet(*files)
-        tables.append((df, {c: NULL if c in nulls else kind for c, kind in declared_types(df).items()}))
+    for kind, own in zip(kinds, types):
+        paths = footers.filter(F.col("types") == kind["types"]).select("path").toLocalIterator()
+        tables.append((spark.read.parquet(*sorted(r["path"] for r in paths)), own))
     return union_tables(tables, allow_missing)
