@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hierfeat.functions import vectors
 from hierfeat.operators import slices
-from hierfeat.operators.quantiles import column_quantiles, quantiles
+from hierfeat.operators.quantiles import quantiles
 from hierfeat.spec import TARGET, WEEK
 
 # Fixed values of the stability metric and of the energy penalty.
@@ -25,9 +25,7 @@ def _class_counts_by_score(scored: DataFrame, keys: list[str], score: str, targe
 
 
 def _sliced_counts(scored: DataFrame, keys: list[str], score: str, target: str) -> DataFrame:
-    counts = _class_counts_by_score(scored, keys, score, target)
-    scores = scored.select(F.col(score).alias("_score"))
-    return slices.by_value(counts, "_score", edges_from=scores)
+    return slices.by_sketch(_class_counts_by_score(scored, keys, score, target), "_score")
 
 
 def weekly_gini(scored: DataFrame, score: str = "score", target: str = TARGET, week: str = WEEK) -> DataFrame:
@@ -109,26 +107,43 @@ def average_precision(scored: DataFrame, score: str = "score", target: str = TAR
 def calibration_curve(
     scored: DataFrame, score: str = "score", target: str = TARGET, bins: int = 10
 ) -> DataFrame:
-    """Mean score and observed rate per quantile bin; empty bins are left out."""
-    shares = [i / bins for i in range(1, bins)]
-    edges: list[float] = []
+    """Mean score and observed rate per quantile bin; empty bins are left out.
+
+    Rows shrink to one per score. Running totals over these give the rank of every score, so the values at the
+    ranks next to each edge, and with them the edges, come from the same grouped table; the rows are read once.
+    """
     known = scored.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
-    if shares:
-        found = column_quantiles(known, [score], shares, "linear").first()
-        edges = [found[f"q{i}"] for i in range(len(shares))] if found else []
+    by_score = known.groupBy(F.col(score).cast("double").alias("_score")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(target).cast("double")).alias("_hits")
+    )
+    ranked = slices.running_totals(slices.by_sketch(by_score, "_score"), {"_below": F.col("_n")}, ["_score"])
+    shares = [i / bins for i in range(1, bins)]
     place = F.lit(0)
-    for edge in edges:
-        place = place + (F.lit(edge) < F.col(score)).cast("int")
+    if shares:
+        last = by_score.agg(F.sum("_n")).scalar() - 1
+        found = ranked.agg(*[_at_rank(r(q * last)).alias(f"_{n}{i}") for i, q in enumerate(shares) for n, r in _SIDES.items()])
+        between = [(F.col(f"_low{i}"), F.col(f"_high{i}"), q * last - F.floor(q * last)) for i, q in enumerate(shares)]
+        edges = F.array(*[low + (high - low) * part for low, high, part in between])
+        by_score = by_score.withColumn("_edges", found.select(edges).scalar())
+        place = F.size(F.filter("_edges", lambda e: e < F.col("_score")))
     return (
-        known.groupBy(place.alias("bin"))
+        by_score.groupBy(place.alias("bin"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(score).alias("prob_pred"),
-            F.avg(F.col(target).cast("double")).alias("prob_true"),
+            F.sum("_n").alias("n"),
+            (F.sum(F.col("_score") * F.col("_n")) / F.sum("_n")).alias("prob_pred"),
+            (F.sum("_hits") / F.sum("_n")).alias("prob_true"),
         )
     )
 
 
+_SIDES = {"low": F.floor, "high": F.ceil}
+
+
+def _at_rank(rank: Column) -> Column:
+    """The score that holds a rank, counted from 0."""
+    return F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_score")))
+
+
 def histogram(df: DataFrame, value: str = "energy", population: str = "population", bins: int = 50) -> DataFrame:
     """Equal-width bins over the range of each population, with density; empty bins included."""
     known = df.filter(F.col(value).isNotNull())

@@ -22,6 +22,8 @@ from hierfeat.functions.hashing import hex_word
 from hierfeat.session import shuffle_width
 
 SLICE = "_slice"
+#: Slices that edges inside a plan are made for, at most.
+MOST_EDGES = 1_024
 
 
 def by_value(
@@ -56,6 +58,31 @@ def by_value(
     return cut.withColumn(SLICE, F.col(SLICE).cast("int")).drop(key)
 
 
+def by_sketch(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """Add slices of about equal row count along a numeric column, cut inside the plan.
+
+    The edges are a mergeable sketch of the table's own rows, a subquery of the plan: no job runs while the plan is built,
+    and a table that ends in a shuffle is shuffled once for both. Edges are searched in two steps, so the
+    work per row is twice the square root of the number of slices.
+    """
+    parts = parts or min(shuffle_width(df.sparkSession), MOST_EDGES)
+    if parts <= 1:
+        return df.withColumn(SLICE, F.lit(0))
+    value, step = F.col(column).cast("double"), math.isqrt(parts - 1) + 1
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    sketch = df.agg(F.percentile_approx(value, shares, F.lit(4 * parts)).alias("edges")).scalar()
+    edges, heads = F.col("_edges"), F.col("_heads")
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda e: e < value))
+
+    start = F.greatest(below(heads) - 1, F.lit(0)) * step
+    place = start + below(F.slice(edges, start + 1, F.lit(step)))
+    # Without rows there are no edges.
+    known = df.withColumn("_edges", sketch).withColumn("_heads", F.filter(edges, lambda _, i: i % step == 0))
+    return known.withColumn(SLICE, F.when(edges.isNull(), F.lit(0)).otherwise(place).cast("int")).drop("_edges", "_heads")
+
+
 def by_hash(df: DataFrame, digits: str, length: int = 3) -> DataFrame:
     """Add slices along a column of hash hex digits; uniform, so no edges are needed."""
     return df.withColumn(SLICE, hex_word(F.col(digits), 1, length).cast("int"))
