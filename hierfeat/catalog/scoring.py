@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hierfeat.catalog import tables as t
 from hierfeat.catalog.learning import MEASURES
 from hierfeat.catalog.registry import query, rounded
 from hierfeat.operators import evaluate, network
-from hierfeat.operators.fit import fit_encoder, fit_head, project
+from hierfeat.operators.fit import encoder_residuals, fit_encoder, fit_head, head_gradient, project
 from hierfeat.operators.prepare import add_class_weights
 from hierfeat.operators.scale import ScalerModel
 from hierfeat.operators.score import ScoringModel, perturb, scaled_vector, score_vectors
@@ -334,6 +335,55 @@ def head_fit(spark, sf_dir):
     return rounded(score_vectors(rows, [fitted], "z", ["case_id", "target"]), ["score", "energy"], 4)
 
 
+def no_residual(df, column: str, digits: int):
+    """Rounded, with one kind of zero."""
+    return df.withColumn(column, F.round(column, digits) + F.lit(0.0))
+
+
+SPREAD = " + ".join(f"var_samp(CAST(CAST({c} AS FLOAT) AS DOUBLE))" for c in MEASURES)
+
+
+@query(
+    "encoder_residual",
+    f"""SELECT c.i AS component, f.i AS feature, 0.0::DOUBLE AS residual, round((SELECT {SPREAD} FROM lineitem), 2) AS spread
+FROM range({len(MEASURES)}) c(i), range({len(MEASURES)}) f(i)""",
+)
+def encoder_residual(spark, sf_dir):
+    """All axes of the measures: each is one of the covariance, and their variances add up to those of the measures."""
+    lines = t.read(spark, sf_dir, "lineitem")
+    x = lines.select(F.array(*[F.col(c).cast("float").cast("double") for c in MEASURES]).alias("x"))
+    learnt, _ = fit_encoder(x, "x", len(MEASURES))
+    found = encoder_residuals(x, "x", learnt)
+    largest = F.max("variance").over(Window.partitionBy(F.lit(0)))
+    one = found.select("component", "feature", (F.col("residual") / largest).alias("residual"), "variance")
+    spread = F.sum(F.when(F.col("feature") == 0, F.col("variance"))).over(Window.partitionBy(F.lit(0)))
+    told = one.select(F.col("component").cast("bigint"), F.col("feature").cast("bigint"), "residual", F.round(spread, 2).alias("spread"))
+    return no_residual(told, "residual", 6)
+
+
+@query(
+    "wide_encoder_residual",
+    f"SELECT c.i AS component, f.i AS feature, 0.0::DOUBLE AS residual FROM range(3) c(i), range({WIDTH}) f(i)",
+)
+def wide_encoder_residual(spark, sf_dir):
+    """The main axes of the latents by power iteration, as for rows too wide for a covariance."""
+    rows = t.latents(spark, sf_dir)
+    learnt, _ = fit_encoder(rows, "z", 3, narrow=0)
+    found = encoder_residuals(rows, "z", learnt)
+    return no_residual(found.select(F.col("component").cast("bigint"), F.col("feature").cast("bigint"), "residual"), "residual", 3)
+
+
+@query(
+    "head_residual",
+    f"SELECT c.i AS class, f.i - 1 AS feature, 0.0::DOUBLE AS gradient FROM range(2) c(i), range({WIDTH + 1}) f(i)",
+)
+def head_residual(spark, sf_dir):
+    """The weighted gradient at the fitted head is zero."""
+    rows = add_class_weights(t.latents(spark, sf_dir))
+    found = head_gradient(rows, fit_head(rows, "z", weight="weight", iterations=500), "z", weight="weight")
+    return no_residual(found.select(F.col("class").cast("bigint"), F.col("feature").cast("bigint"), "gradient"), "gradient", 4)
+
+
 TOP, TOP_BIAS = rule(2, 3, 5), [0.05, -0.05]
 
 

@@ -126,3 +126,53 @@ def test_head_learns_the_class(spark):
     scored = score_vectors(df, [head], "z", ["target"])
     right = scored.filter((F.col("score") > 0.5) == (F.col("target") == 1)).count()
     assert right > 350
+
+
+def wide_rows(spark, n, width, rank, seed=3):
+    rng = np.random.default_rng(seed)
+    spread = 10.0 / (1 + np.arange(rank))
+    x = (rng.normal(size=(n, rank)) * spread) @ rng.normal(size=(rank, width)) + 0.01 * rng.normal(size=(n, width)) + 3.0
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "case_id int, x array<double>").repartition(4)
+    return x, df
+
+
+def test_power_iteration_finds_the_axes(spark):
+    x, df = wide_rows(spark, 200, 30, 6)
+    exact, _ = fit_encoder(df, "x", 3)
+    encoder, decoder = fit_encoder(df, "x", 3, narrow=0)
+    for a, b in ((exact, encoder),):
+        np.testing.assert_allclose(a.layers[0].weights["weight"], b.layers[0].weights["weight"], atol=1e-5)
+        np.testing.assert_allclose(a.layers[0].weights["bias"], b.layers[0].weights["bias"], atol=1e-3)
+    assert np.abs(decoder.apply(encoder.apply(x)) - x).mean() < np.abs(x - x.mean(axis=0)).mean() / 2
+
+
+def test_very_wide_rows(spark):
+    """5,000 features: their covariance would hold 25 million numbers."""
+    x, df = wide_rows(spark, 80, 5_000, 4)
+    encoder, _ = fit_encoder(df, "x", 4)
+    weight = encoder.layers[0].weights["weight"]
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    np.testing.assert_allclose(np.abs((weight * axes[:4]).sum(axis=1)), 1, atol=1e-6)
+    np.testing.assert_allclose(weight @ weight.T, np.eye(4), atol=1e-8)
+
+
+def test_residuals_show_a_wrong_fit(spark):
+    from hierfeat.operators.fit import encoder_residuals, head_gradient
+
+    x, df = wide_rows(spark, 100, 5, 5)
+    encoder, _ = fit_encoder(df, "x", 5)
+    assert max(abs(r.residual) for r in encoder_residuals(df, "x", encoder).collect()) < 1e-6
+    wrong = Network([linear(np.eye(5), np.zeros(5))])
+    assert max(abs(r.residual) for r in encoder_residuals(df, "x", wrong).collect()) > 1
+    rows = df.withColumn("target", (F.col("case_id") % 3 == 0).cast("int")).withColumn("w", F.col("case_id") % 4 + 1.0)
+    fitted = fit_head(rows, "x", weight="w")
+    assert max(abs(r.gradient) for r in head_gradient(rows, fitted, "x", weight="w").collect()) < 1e-4
+    assert max(abs(r.gradient) for r in head_gradient(rows, Network([linear(np.zeros((2, 5)), np.zeros(2))]), "x").collect()) > 0.01
+
+
+def test_encoders_need_rows(spark):
+    none = spark.createDataFrame([], "x array<double>")
+    with pytest.raises(ValueError, match="no rows"):
+        fit_encoder(none, "x", 2)
+    with pytest.raises(ValueError, match="two rows"):
+        fit_encoder(spark.createDataFrame([([1.0, 2.0],)], "x array<double>"), "x", 1, narrow=0)
