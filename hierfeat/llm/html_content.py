@@ -45,6 +45,7 @@ CONTENT_NAMES = frozenset(
 )
 BOILER_TAGS = frozenset("aside footer menu dialog".split()) | HIDDEN
 CONTENT_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names that begin so tell of a page's parts or subjects, not of the block: has-sidebar, category-social.
 ABOUT = frozenset("has no with without not category tag".split())
 
@@ -123,11 +124,11 @@ def features(blocks: list[Block], own: list[int], linked: list[int], marks: list
 def described(page: str) -> tuple[list[Block], list[tuple[int, str]], list[list[str]]]:
     blocks, runs = parse(page)
     texts = block_texts(runs)
-    own, marks = [0] * len(blocks), [0] * len(blocks)
+    marks = [0] * len(blocks)
     for i, text in texts:
-        own[i] += len(text)
+        blocks[i].own += len(text)
         marks[i] += sum(map(text.count, ",.;:!?"))
-    return blocks, texts, features(blocks, own, [b.linked for b in blocks], marks)
+    return blocks, texts, features(blocks, [b.own for b in blocks], [b.linked for b in blocks], marks)
 
 
 def labels(blocks: list[Block]) -> list[int]:
@@ -146,18 +147,38 @@ def labels(blocks: list[Block]) -> list[int]:
 def shut_off(blocks: list[Block]) -> list[bool]:
     """Blocks that are boilerplate by their own word or that of a block around them.
 
-    A form is, unless it holds an article, a content name or a main heading: some pages are one form.
+    A name never shuts what holds an article, a main element, a content name or a main heading and half of the page's
+    text: such a block is the wrapper of the page. Where names would leave nothing but headings and links, they shut
+    nothing. What is not shut by its name here still has it as a feature, and the messages decide. A form is
+    shut unless it holds one of these: some pages are one form.
     """
+    by_tag = [b.tag in BOILER_TAGS and b.tag != "form" for b in blocks]
     shut, full = [closed(b) for b in blocks], [False] * len(blocks)
-    shut[:1] = [False]
+    by_tag[:1], shut[:1] = [False], [False]
+    size = [b.own for b in blocks]
+    for i in range(len(blocks) - 1, 0, -1):
+        size[blocks[i].parent] += size[i]
     for i in range(len(blocks) - 1, 0, -1):
         b = blocks[i]
+        if full[i] and not by_tag[i] and 2 * size[i] >= size[0]:
+            shut[i] = False
         own = b.tag in CONTENT_TAGS or b.tag == "h1" or b.marked or not CONTENT_NAMES.isdisjoint(b.names.split())
         if not shut[i] and (own or full[i]):
             full[b.parent] = True
-    for i, b in enumerate(blocks[1:], 1):
-        shut[i] = shut[b.parent] or shut[i] or (b.tag == "form" and not full[i])
-    return shut
+    forms = [b.tag == "form" and not full[i] for i, b in enumerate(blocks)]
+
+    def spread(own: list[bool]) -> list[bool]:
+        found = [False] * len(blocks)
+        for i, b in enumerate(blocks[1:], 1):
+            found[i] = found[b.parent] or own[i] or forms[i]
+        return found
+
+    named, tagged = spread(shut), spread(by_tag)
+
+    def paragraphs(off: list[bool]) -> bool:
+        return any(b.own > b.linked and b.tag not in HEADINGS and not o for b, o in zip(blocks, off))
+
+    return named if paragraphs(named) or not paragraphs(tagged) else tagged
 
 
 def evidence(page: str) -> Counter:

@@ -14,7 +14,7 @@ from html import unescape
 # Elements by kind, as the public HTML standard lists them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title textarea noscript template iframe svg math object select button form nav".split())
+HIDDEN = frozenset("head script style title textarea noscript template iframe svg object select button form nav".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main math menu nav noscript object"
@@ -55,6 +55,8 @@ class Block:
     names: str = ""
     marked: bool = False
     linked: int = 0
+    #: Characters of its own text, without what is in blocks inside it.
+    own: int = 0
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:

@@ -104,9 +104,46 @@ STORY = "<h1>A title</h1><p>The council met on Tuesday, and after a long debate
         '<body><article class="post category-social tag-search">[]</article><form><p>Sign up, it is free.</p></form></body>',
         '<body><form id=aspnetForm><div class=menu><a href=a>x</a></div><div id=content>[]</div></form></body>',
         "<body><form id=f>[]</form></body>",
+        '<body><div class="page sidebar-right"><article>[]</article><div class=sidebar><p>A teaser, fairly long.</p></div></div></body>',
+        '<body><div class="search-page"><main>[]</main></div></body>',
+        '<body><div class="site ad-enabled"><nav><a href=a>x</a></nav><div class="entry-content">[]</div></div></body>',
+        '<body><div class="form-group"><div class="content">[]</div></div></body>',
+        '<body><div class="story-tags-box"><article>[]</article></div></body>',
+        '<body><div class="wrapper menu-open"><div class="ad-free notice-on"><article>[]</article></div></div><footer>Us</footer></body>',
     ],
 )
 def test_a_bad_part_of_a_name_does_not_lose_the_article(spark, page, taught):
     counts = taught_counts(spark) if taught else H.with_examples({})
     want = "A title\nThe council met on Tuesday, and after a long debate it agreed.\nWork begins in spring, it said."
     assert H.TreeModel(counts).main_text(page.replace("[]", STORY)) == want
+
+
+@pytest.mark.parametrize("taught", [False, True])
+def test_names_never_take_the_last_paragraph(spark, taught):
+    model = H.TreeModel(taught_counts(spark) if taught else H.with_examples({}))
+    notice = STORY.replace("</h1>", "</h1><section class=notice>", 1) + "</section>"
+    assert model.main_text(f"<body><nav>a</nav><main>{notice}</main></body>") == "\n".join(
+        ["A title", "The council met on Tuesday, and after a long debate it agreed.", "Work begins in spring, it said."]
+    )
+    # Beside other paragraphs a notice is one, and so are teasers that are articles in a sidebar.
+    beside = STORY + "<section class=notice><p>We use cookies, and more of them than you may want.</p></section>"
+    side = "<div class=sidebar><article><p>A teaser of another story, fairly long.</p></article></div>"
+    assert model.main_text(f"<body><main>{beside}</main>{side}</body>").endswith("Work begins in spring, it said.")
+
+
+@pytest.mark.parametrize("taught", [False, True])
+def test_formulas_are_text(spark, taught):
+    model = H.TreeModel(taught_counts(spark) if taught else H.with_examples({}))
+    page = f"<article>{STORY}<p>The sum of both, <math><mi>a</mi><mo>+</mo><mi>b</mi></math>, is said to be larger than one.</p></article>"
+    assert "a+b" in model.main_text(page).replace(" ", "").replace("\n", "")
+
+
+def test_pages_of_the_table_without_the_article_element(spark):
+    """Containers of any other name: the text must not hang on the element that marks it."""
+    pages = spark.read.parquet(PAGES).limit(200).collect()
+    model, right = H.TreeModel(taught_counts(spark)), 0
+    for r in pages:
+        want = model.main_text(r["html"])
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        right += model.main_text(plain) == want
+    assert right >= 0.95 * len(pages)
