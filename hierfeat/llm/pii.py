@@ -1,9 +1,9 @@
 """Personal data, and the words that give it away.
 
-Base kinds are found by patterns. The corpus then says how strongly a word next to a protected
+Base kinds are found by patterns. The corpus then says how strongly a word near a protected
 value reveals it: if the pointwise mutual information of word and value comes near the
 information content of the value, the word predicts it almost alone, and is generalised or
-removed like the value itself. All of it is DataFrame operations.
+removed wherever it stands, like the value itself. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,14 +16,23 @@ from pyspark.sql.window import Window
 
 from hierfeat.llm.shared import stored
 
-#: Characters of text on each side of a value that are searched for words, and words taken of them.
-CONTEXT_CHARS, CONTEXT_WORDS = 80, 5
-#: Different passages in which a word must stand next to a value.
+#: Characters of text on each side of a value in which words count as near it, and those that tell passages apart.
+CONTEXT_CHARS, PASSAGE_CHARS = 160, 80
+#: Different passages in which a word must stand near a value.
 SUPPORT = 3
 #: Share of a value's information that a word may carry before it is generalised, and removed.
 GENERALISE, REMOVE = 0.85, 0.95
-
-TERM = r"(?<![^\s(\"'])\p{L}{3,}(?=[\s,;:.!?)\"']|$)"
+#: Revealing words that are sent to every task; more are joined by a shuffle.
+SENT_TERMS = 100_000
+
+# A word: letters, marks and digits, a letter among them, with single hyphens and apostrophes inside; three of them, or
+# two that begin like a name. It stands between white space and punctuation, but not beside the signs that join the parts
+# of addresses.
+CHAR = r"[\p{L}\p{M}\p{N}]"
+TERM = (
+    rf"(?<![^\s\p{{P}}]|[@._%+\-/'’])(?=[\p{{N}}\-'’]*\p{{L}})(?=[\p{{Lu}}\p{{Lo}}]{CHAR}|{CHAR}(?:[-'’]?{CHAR}){{2}}){CHAR}++(?:[-'’]{CHAR}++)*+"
+    r"(?=\s|$|[\p{P}&&[^@_%+\-/.]]|\.(?:\s|$|[\p{P}&&[^@._%+\-/]]))"
+)
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -135,53 +144,38 @@ def base_spans(found: DataFrame) -> DataFrame:
     )
 
 
-def words_near(spans: DataFrame) -> DataFrame:
-    """Every word next to a value, with its place and a hash of the passage."""
+def terms_of(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def terms(context: Column, origin: Column, last: bool) -> Column:
-        values, gaps = F.regexp_extract_all(context, F.lit(TERM), F.lit(0)), F.split(context, TERM, -1)
 
-        def total(parts: Column) -> Column:
-            return F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
-
-        placed = F.transform(
-            values,
-            lambda v, i: F.struct(
-                F.lower(v).alias("term"),
-                (origin + total(F.slice(gaps, 1, i + 1)) + total(F.slice(values, 1, i))).alias("start"),
-                F.length(v).alias("size"),
-            ),
-        )
-        n = F.size(values)
-        return F.slice(placed, F.greatest(n - CONTEXT_WORDS + 1, F.lit(1)) if last else F.lit(1), F.lit(CONTEXT_WORDS))
-
-    both = F.concat(
-        terms(F.col("left"), F.col("start") - F.length("left"), True), terms(F.col("right"), F.col("end"), False)
-    )
-    return spans.select(
-        "row", "kind", "value", F.xxhash64("left", "right").alias("passage"), F.explode(both).alias("t")
-    ).select("row", "kind", "value", "passage", "t.term", "t.start", (F.col("t.start") + F.col("t.size")).alias("end"))
+def words_near(spans: DataFrame) -> DataFrame:
+    """Every different word near a value, with a hash of the passage; of values seen in enough passages."""
+    passage = F.xxhash64(F.right("left", F.lit(PASSAGE_CHARS)), F.left("right", F.lit(PASSAGE_CHARS)))
+    placed = spans.withColumn("passage", passage)
+    enough = placed.groupBy("kind", "value").agg(F.countDistinct("passage").alias("passages")).filter(F.col("passages") >= SUPPORT)
+    words = F.array_distinct(F.concat(terms_of(F.col("left")), terms_of(F.col("right"))))
+    seen = placed.join(enough.select("kind", "value"), ["kind", "value"])
+    return seen.select("row", "kind", "value", "passage", F.explode(words).alias("term"))
 
 
-def disclosing(spans: DataFrame, near: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+def disclosing(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs of a value and a word that reveals it, with ``share``: the part of the value's information.
 
-    With N words in the corpus, a value seen n times has log2(N / n) bits. A word seen m times, k of
-    them next to the value, carries log2(k N / (n m)) bits of it. All counts are over all documents;
-    different passages are asked for, so that copies of one text reveal nothing.
+    Of N texts with words, n hold the value, which has log2(N / n) bits. A word that m texts hold, k of them near the
+    value, carries log2(k N / (n m)) bits of it. ``words`` has one row for each text and different word in it. All counts
+    are over all documents; different passages are asked for, so that copies of one text reveal nothing.
     """
-    words = texts.select(
-        F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))).alias("term")
-    )
     corpus = stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("m")), "terms")
-    size = corpus.agg(F.sum("m")).first()[0] or 0
+    texts = words.agg(F.countDistinct("row")).first()[0] or 0
+    near = words_near(spans)
     pairs = (
         near.groupBy("kind", "value", "term")
-        .agg(F.count(F.lit(1)).alias("k"), F.countDistinct("passage").alias("support"))
+        .agg(F.countDistinct("row").alias("k"), F.countDistinct("passage").alias("support"))
         .filter(F.col("support") >= SUPPORT)
     )
-    values = spans.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    every = F.lit(float(max(size, 2)))
+    values = spans.select("kind", "value", "row").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    every = F.lit(float(max(texts, 2)))
     own = F.log2(every / F.col("n"))
     told = F.log2(F.least("k", "m") * every / (F.col("n") * F.col("m")))
     return (
@@ -193,20 +187,33 @@ def disclosing(spans: DataFrame, near: DataFrame, texts: DataFrame, text: str) -
     )
 
 
-def all_spans(docs: DataFrame, key: str, text: str, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The documents, each with a ``row`` number, and all spans: row, kind, start, end, share."""
-    kept = [F.col(text).alias("whole")] if keep_text else []
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *kept)
+def occurrences(texts: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
+    """Places of all revealing words: ``row``, ``start``, ``end``, ``share``, the largest that the word has.
+
+    First the texts that hold such a word are found, then only these are taken apart.
+    """
+    terms = stored(told.groupBy("term").agg(F.max("share").alias("share")), "revealing")
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    holders = words.join(terms, "term", "left_semi").select("row").distinct()
+    # The text ends with a gap that no word follows.
+    parts = F.arrays_zip(
+        F.split("whole", TERM, -1).alias("gap"), F.regexp_extract_all(F.col("whole"), F.lit(TERM), F.lit(0)).alias("word")
+    )
+    cut = texts.select("row", "whole").join(holders, "row").select("row", F.posexplode(parts).alias("place", "p"))
+    order = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("p.word").cast("bigint")
+    placed = cut.withColumn("end", F.sum(F.length("p.gap") + F.coalesce(size, F.lit(0))).over(order))
+    found = placed.filter("p.word IS NOT NULL").select("row", F.lower("p.word").alias("term"), (F.col("end") - size).alias("start"), "end")
+    return found.join(terms, "term").select("row", "start", "end", "share")
+
+
+def all_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, each with a ``row`` number and its ``whole`` text, and all spans: row, kind, start, end, share."""
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(text).alias("whole"))
     rows = stored(cut_out(narrow, "text").withColumn("row", F.monotonically_increasing_id()), "matches")
     spans = base_spans(rows)
-    near = words_near(spans)
-    told = disclosing(spans, near, docs, text)
-    added = (
-        near.join(told, ["kind", "value", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .select("row", F.lit(TERM_KIND).alias("kind"), "start", "end", "share")
-    )
+    words = rows.select("row", F.explode(terms_of(F.coalesce("whole", F.lit("")))).alias("term"))
+    added = occurrences(rows, words, disclosing(spans, words)).select("row", F.lit(TERM_KIND).alias("kind"), "start", "end", "share")
     base = spans.select("row", "kind", "start", "end", F.lit(None).cast("double").alias("share"))
     return rows.drop("found"), base.unionByName(added)
 
@@ -225,7 +232,7 @@ def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Personal data in every whole text, and words that reveal it.
 
     One row per row of ``docs``: the key, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``,
-    ``spans`` (all spans by kind, then start; revealing words have the kind ``term``), ``n_term``. Places
+    ``spans`` (all spans by kind, then start; revealing words have the kind ``term``, wherever they stand), ``n_term``. Places
     count code points. Matches of a kind do not overlap, those of different kinds may. Null and
     empty texts have no spans. Repeated rows come out as often as they go in and count as often in
     the statistics; an empty table gives an empty one; other columns are not read.
@@ -255,7 +262,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     first takes effect, of those with one start the longest. Null stays null; rows as in
     ``private_spans``.
     """
-    rows, spans = all_spans(docs, key, text, keep_text=True)
+    rows, spans = all_spans(docs, key, text)
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
     put = (
         F.when(F.col("kind") < TERM_KIND, F.get(names, F.col("kind")))
