@@ -190,21 +190,27 @@ def disclosing(spans: DataFrame, words: DataFrame) -> DataFrame:
 def occurrences(texts: DataFrame, words: DataFrame, told: DataFrame) -> DataFrame:
     """Places of all revealing words: ``row``, ``start``, ``end``, ``share``, the largest that the word has.
 
-    First the texts that hold such a word are found, then only these are taken apart.
+    First the texts that hold such a word are found, each with its words, then only these are gone through, once and word by
+    word, and no row is made for any other word.
     """
     terms = stored(told.groupBy("term").agg(F.max("share").alias("share")), "revealing")
     terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
-    holders = words.join(terms, "term", "left_semi").select("row").distinct()
+    own = words.join(terms, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     # The text ends with a gap that no word follows.
     parts = F.arrays_zip(
         F.split("whole", TERM, -1).alias("gap"), F.regexp_extract_all(F.col("whole"), F.lit(TERM), F.lit(0)).alias("word")
     )
-    cut = texts.select("row", "whole").join(holders, "row").select("row", F.posexplode(parts).alias("place", "p"))
-    order = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length("p.word").cast("bigint")
-    placed = cut.withColumn("end", F.sum(F.length("p.gap") + F.coalesce(size, F.lit(0))).over(order))
-    found = placed.filter("p.word IS NOT NULL").select("row", F.lower("p.word").alias("term"), (F.col("end") - size).alias("start"), "end")
-    return found.join(terms, "term").select("row", "start", "end", "share")
+    holders = texts.select("row", "whole").join(own, "row").select("row", "told", parts.alias("parts"))
+    none = F.array().cast("array<struct<start: bigint, end: bigint, share: double>>")
+
+    def step(done: Column, p: Column) -> Column:
+        start = done["at"] + F.length(p["gap"])
+        end, share = start + F.coalesce(F.length(p["word"]), F.lit(0)), F.try_element_at(F.col("told"), F.lower(p["word"]))
+        more = F.concat(done["found"], F.array(F.struct(start.alias("start"), end.alias("end"), share.alias("share"))))
+        return F.struct(end.alias("at"), F.when(share.isNotNull(), more).otherwise(done["found"]).alias("found"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
+    return holders.select("row", F.inline(F.aggregate("parts", begin, step, lambda done: done["found"])))
 
 
 def all_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
