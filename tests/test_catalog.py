@@ -83,3 +83,19 @@ assert read_footers(spark, ["file://" + {SF!r} + "/orders.parquet"])
 
 def test_entry(spark):
     assert entry(spark).count() == 150
+
+
+def test_entry_without_the_corpus_operators():
+    """Neither a missing module nor a folder that is left over empty keeps the other queries from loading."""
+    code = f"""
+import importlib.abc, sys
+class Gone(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith("hierfeat.llm.") or name == "public_tokenizers":
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+import __spark_entry__ as e
+assert len(e.queries()) > 70 and "pipeline" not in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
