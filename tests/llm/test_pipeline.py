@@ -38,7 +38,7 @@ def test_stages_take_awkward_tables(spark, awkward, empty):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_the_rest_works_without_these_folders(tmp_path):
