@@ -144,6 +144,31 @@ def freq_window(spark, sf_dir):
     return impute.frequency_encode(parts, ["p_name", "p_brand", "p_type"], "p_partkey")
 
 
+LONG_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+@query(
+    "freq_shuffled",
+    "WITH texts AS (SELECT l_orderkey AS case_id, l_linenumber, CAST(l_orderkey AS VARCHAR) AS l_orderkey, "
+    "CASE WHEN l_partkey % 3 = 0 THEN 'MISSING' ELSE CAST(l_partkey AS VARCHAR) END AS l_partkey, "
+    "CAST(l_suppkey AS VARCHAR) AS l_suppkey, CAST(l_shipdate AS VARCHAR) AS l_shipdate, l_returnflag FROM lineitem) "
+    "SELECT case_id, l_linenumber, "
+    + ", ".join(f"count(*) OVER (PARTITION BY {c}) AS {c}" for c in [*LONG_KEYS, "l_returnflag"])
+    + " FROM texts",
+)
+def freq_shuffled(spark, sf_dir):
+    """Nothing may be broadcast here: four columns go through one long-form join, one has a hot value."""
+    lines = t.read(spark, sf_dir, "lineitem")
+    texts = lines.select(
+        F.col("l_orderkey").alias("case_id"),
+        "l_linenumber",
+        *[F.col(c).cast("string").alias(c) for c in LONG_KEYS if c != "l_partkey"],
+        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey").cast("string")).alias("l_partkey"),
+        "l_returnflag",
+    )
+    return impute.frequency_encode(texts, [*LONG_KEYS, "l_returnflag"], "case_id", broadcast_bytes=0)
+
+
 @query(
     "feature_cols",
     f"""WITH {GAPPY} SELECT 'price' AS col, count(price) AS n FROM gappy

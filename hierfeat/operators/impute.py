@@ -17,12 +17,14 @@ from hierfeat.spec import CASE, GROUP1, GROUP2, MISSING, NULL_SUFFIX, TARGET, WE
 logger = logging.getLogger(__name__)
 
 NOT_FEATURES = (CASE, WEEK, TARGET, GROUP1, GROUP2)
-# Columns with few short values use a literal map, those within the next bounds a
-# broadcast join, the rest a shuffled join.
+# Columns with few short values use a literal map; broadcast joins keep within the next bounds
+# all together; the rest go through one shuffled join.
 LITERAL_LEVELS, LITERAL_BYTES = 64, 10_000
 BROADCAST_LEVELS, BROADCAST_BYTES = 100_000, 64 * 2**20
 # A value above this share of the rows is hot in a shuffled join; at most 1 / share exist.
 HOT_VALUE_SHARE = 0.01
+# Tasks that share the rows of a hot value too long for a literal.
+SALTS = 32
 UNSEEN = 1
 
 
@@ -57,12 +59,16 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return texts.unpivot([], columns, "col", "value").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def encode_counts(df: DataFrame, freqs: DataFrame, columns: list[str], spread: Column) -> DataFrame:
+def encode_counts(
+    df: DataFrame, freqs: DataFrame, columns: list[str], spread: Column, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Replace each categorical column by the count its value has in ``freqs``, 1 if unseen.
 
-    The number of values per column is looked up first and decides how the lookup runs.
-    ``freqs`` must be stored: it is read once per column. ``spread`` is any
-    well-spread column; rows already answered are scattered by it in a shuffled join.
+    The number and the bytes of the values per column are looked up first and decide how the lookup runs:
+    a literal map, a broadcast join as long as all broadcast tables together keep within
+    ``broadcast_bytes`` (``BROADCAST_BYTES`` if not given) and ``BROADCAST_LEVELS``, or for all other columns
+    one shuffled join in long form. ``freqs`` must be stored: it is read several times. ``spread`` is
+    any well-spread column; it deals the rows of long hot values over the tasks of the shuffled join.
     """
     if not columns:
         return df
@@ -77,42 +83,96 @@ def encode_counts(df: DataFrame, freqs: DataFrame, columns: list[str], spread: C
         )
         .collect()
     }
-    small, large = [], []
-    for c in columns:
-        levels, size = (sizes[c]["levels"], sizes[c]["bytes"]) if c in sizes else (0, 0)
-        if levels <= LITERAL_LEVELS and size <= LITERAL_BYTES:
-            small.append(c)
-        elif levels > BROADCAST_LEVELS or size > BROADCAST_BYTES:
-            large.append(c)
+    small, large = _lookup_kinds(columns, sizes, BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     wanted = F.col("col").isin(small)
     for c in large:
-        # Long hot values are left to the skew handling of the join.
-        hot = (F.col("n") > HOT_VALUE_SHARE * sizes[c]["total"]) & (F.octet_length("value") <= LITERAL_BYTES)
-        wanted = wanted | ((F.col("col") == c) & hot)
+        wanted = wanted | ((F.col("col") == c) & (F.col("n") > HOT_VALUE_SHARE * sizes[c]["total"]))
+    short = F.octet_length("value") <= LITERAL_BYTES
+    listed = freqs.filter(wanted).select(
+        "col", "n", F.when(short, F.col("value")).alias("value"), F.xxhash64("value").alias("hash")
+    )
     known: dict[str, dict[str, int]] = {}
-    for r in freqs.filter(wanted).collect():
-        known.setdefault(r["col"], {})[r["value"]] = r["n"]
+    salted: set[int] = set()
+    for r in listed.collect():
+        if r["value"] is None:
+            salted.add(r["hash"])
+        else:
+            known.setdefault(r["col"], {})[r["value"]] = r["n"]
 
     order = df.columns
+    if large:
+        df = _long_lookup(df, freqs, large, known, sorted(salted), spread)
     for c in columns:
         value = F.col(f"`{c}`")
+        if c in large:
+            continue
         if c in small:
             count = _lookup(known.get(c, {}), value)
         else:
             table = freqs.filter(F.col("col") == c).select(F.col("value").alias("_k"), F.col("n").alias("_c"))
-            if c in large:
-                answered = _lookup(known.get(c, {}), value)
-                scattered = F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))
-                df = df.withColumn("_j", F.when(answered.isNotNull(), scattered).otherwise(value))
-                df = df.join(table, F.col("_j") == F.col("_k"), "left")
-                count = F.coalesce(answered, F.col("_c"))
-            else:
-                df = df.join(F.broadcast(table), value == F.col("_k"), "left")
-                count = F.col("_c")
-        df = df.withColumn(c, F.coalesce(count, F.lit(UNSEEN)).cast("bigint")).drop("_j", "_k", "_c")
+            df = df.join(F.broadcast(table), value == F.col("_k"), "left")
+            count = F.col("_c")
+        df = df.withColumn(c, _seen(count)).drop("_k", "_c")
     return df.select(*[f"`{c}`" for c in order])
 
 
+def _lookup_kinds(columns: list[str], sizes: dict, most_bytes: int) -> tuple[list[str], list[str]]:
+    """Columns for literal maps and columns for the shuffled join; the others are broadcast, smallest first."""
+    found = {c: (sizes[c]["levels"], sizes[c]["bytes"]) if c in sizes else (0, 0) for c in columns}
+    small = [c for c, (levels, size) in found.items() if levels <= LITERAL_LEVELS and size <= LITERAL_BYTES]
+    large, all_levels, all_bytes = [], 0, 0
+    for c in sorted(set(columns) - set(small), key=lambda c: (found[c][1], c)):
+        levels, size = found[c]
+        if all_levels + levels > BROADCAST_LEVELS or all_bytes + size > most_bytes:
+            large.append(c)
+        else:
+            all_levels, all_bytes = all_levels + levels, all_bytes + size
+    return small, [c for c in columns if c in large]
+
+
+def _long_lookup(
+    df: DataFrame, freqs: DataFrame, columns: list[str], known: dict[str, dict[str, int]], salted: list[int], spread: Column
+) -> DataFrame:
+    """Counts of the values of many columns by one join, whatever their number.
+
+    Cells that no short hot value answers become rows of number, column and value. They meet the counts
+    in one shuffle and are gathered by row in another; the wide rows are stored once, so that their
+    numbers stay, and move once. Values in ``salted`` (their hashes) are hot and too long for a literal: their
+    cells are dealt over ``SALTS`` tasks and their counts are repeated for each.
+    """
+    row, salt = "_row", F.lit(0)
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()), "encoded")
+    answered = {c: _lookup(known.get(c, {}), F.col(f"`{c}`")) for c in columns}
+    cells = [
+        F.when(answered[c].isNull(), F.struct(F.lit(i).alias("pos"), F.col(f"`{c}`").alias("value")))
+        for i, c in enumerate(columns)
+    ]
+    open_cells = rows.select(
+        row, spread.alias("_spread"), F.inline(F.filter(F.array(*cells), lambda cell: cell.isNotNull()))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    table = freqs.filter(F.col("col").isin(columns)).select(
+        (F.array_position(names, F.col("col")) - 1).cast("int").alias("pos"), "value", "n"
+    )
+    if salted:
+        hot = F.xxhash64("value").isin(salted)
+        salt = F.when(hot, F.pmod(F.xxhash64("_spread"), F.lit(SALTS))).otherwise(0).cast("int")
+        each = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        table = table.withColumn("salt", F.explode(each))
+    else:
+        table = table.withColumn("salt", F.lit(0))
+    met = open_cells.withColumn("salt", salt).join(table, ["pos", "value", "salt"])
+    counts = met.groupBy(row).agg(
+        *[F.max(F.when(F.col("pos") == i, F.col("n"))).alias(f"_n{i}") for i in range(len(columns))]
+    )
+    done = {c: _seen(F.coalesce(answered[c], F.col(f"_n{i}"))) for i, c in enumerate(columns)}
+    return rows.join(counts, row, "left").withColumns(done)
+
+
+def _seen(count: Column) -> Column:
+    return F.coalesce(count, F.lit(UNSEEN)).cast("bigint")
+
+
 def _lookup(counts: dict[str, int], value: Column) -> Column:
     if not counts:
         return F.lit(None).cast("bigint")
@@ -222,7 +282,7 @@ class ImputerModel:
         )
 
 
-def frequency_encode(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+def frequency_encode(df: DataFrame, columns: list[str], key: str, broadcast_bytes: int | None = None) -> DataFrame:
     """Replace values by how often they occur in this same table, without keeping a state."""
     texts = df.withColumns({c: category(F.col(f"`{c}`")) for c in columns})
-    return encode_counts(texts, stored(value_counts(df, columns), "frequencies"), columns, F.col(key))
+    return encode_counts(texts, stored(value_counts(df, columns), "frequencies"), columns, F.col(key), broadcast_bytes)

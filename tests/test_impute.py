@@ -101,3 +101,32 @@ def test_every_lookup_gives_the_same_counts(spark, monkeypatch, literal, broadca
     unseen = spark.createDataFrame([(1, "new"), (2, "hot")], "id int, a string")
     coded = records(impute.encode_counts(unseen, freqs, ["a"], F.col("id")))
     assert coded == [{"id": 1, "a": 1}, {"id": 2, "a": counts["hot"]}]
+
+
+def test_many_large_columns_take_one_join_and_long_hot_values_are_salted(spark, monkeypatch):
+    """Repeated rows, nulls and a hot value too long for a literal; the plan does not grow with the columns."""
+    monkeypatch.setattr(impute, "LITERAL_LEVELS", 0)
+    monkeypatch.setattr(impute, "LITERAL_BYTES", 20)
+    hot, names = "long " * 9, ["a", "b", "c", "d"]
+    rows = [(i % 50, *[None if i % 11 == 0 else hot if i % 3 == j % 3 else f"{n}{i % (5 + j)}" for j, n in enumerate(names)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string, d string").repartition(3)
+    got = impute.frequency_encode(df, names, "id", broadcast_bytes=0)
+    want = []
+    for r in rows:
+        want.append((r[0], *[sum(o[1 + j] == r[1 + j] for o in rows) for j in range(4)]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+    def joins(columns):
+        plan = impute.frequency_encode(df, columns, "id", broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join ")
+
+    assert joins(names) == joins(names[:1]) == 2
+
+
+def test_broadcast_tables_are_bounded_together(monkeypatch):
+    monkeypatch.setattr(impute, "LITERAL_LEVELS", 2)
+    sizes = {c: {"levels": n, "bytes": 10 * n, "total": 100} for c, n in [("a", 50), ("b", 60), ("c", 2), ("d", 70)]}
+    assert impute._lookup_kinds(["d", "a", "b", "c", "new"], sizes, 1_200) == (["c", "new"], ["d"])
+    assert impute._lookup_kinds(["d", "a", "b", "c"], sizes, 600) == (["c"], ["d", "b"])
+    monkeypatch.setattr(impute, "BROADCAST_LEVELS", 49)
+    assert impute._lookup_kinds(["a", "c"], sizes, 10**6) == (["c"], ["a"])
