@@ -43,14 +43,19 @@ def inverse(x: int) -> np.uint64:
     return np.uint64(pow(x, -1, 1 << 64))
 
 
+#: Base and byte values of the second hash, which share nothing with those of the first.
+OTHER_STEP = np.uint64(0xD1342543DE82EF95)
+OTHER_VALUE = mixed(BYTE_VALUE ^ OTHER_STEP)
+
+
 class Hasher:
     """Hashes of any stretch of a segment from one pass of running sums."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray, step: np.uint64):
         n = len(data)
-        self.back = powers(n + 1, inverse(int(STEP)))
+        self.back = powers(n + 1, inverse(int(step)))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * powers(n, STEP), out=self.sums[1:])
+        np.cumsum(values[data] * powers(n, step), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start])
@@ -62,13 +67,14 @@ class Hasher:
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """The anchors of a segment: its gram's hash, the hash of its surroundings, text, place, and its strings.
 
-    ``low`` and ``high`` are the first and the last start of the strings that belong to the anchor.
+    ``low`` and ``high`` are the first and the last start of the strings that belong to the anchor. Grams and
+    surroundings are hashed by different sums: strings that one takes for equal are told apart by the other.
     """
     n, window = len(data), length - gram + 1
     empty = {c: np.zeros(0, np.int64) for c in ("text", "place", "low", "high")}
     if n < length:
-        return empty | {c: np.zeros(0, np.uint64) for c in ("gram", "around")} | {"hasher": None}
-    hasher = Hasher(data)
+        return empty | {c: np.zeros(0, np.uint64) for c in ("gram", "around")} | {"hashers": None}
+    hasher, other = Hasher(data, BYTE_VALUE, STEP), Hasher(data, OTHER_VALUE, OTHER_STEP)
     hashes = hasher.grams(gram)
     bits = max(int(len(hashes)).bit_length(), 1)
     mask = np.uint64((1 << bits) - 1)
@@ -85,14 +91,14 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> dic
     inside = np.arange(len(chosen)) + length <= bounds[1:][text]
     start = np.flatnonzero(inside)
     if not len(start):
-        return empty | {c: np.zeros(0, np.uint64) for c in ("gram", "around")} | {"hasher": None}
+        return empty | {c: np.zeros(0, np.uint64) for c in ("gram", "around")} | {"hashers": None}
     own, place = text[start], chosen[start]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
     low, high = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
     place, own = place[new], own[new]
     # Surroundings are equal only if the strings lie alike around the anchor.
     shape = ((place - low) * 256 + (place - high)).astype(np.uint64)
-    around = mixed(hasher.of(low, high + length) + mixed(shape + np.uint64(1)))
+    around = mixed(other.of(low, high + length) + mixed(shape + np.uint64(1)))
     return {
         "gram": hashes[place],
         "around": around,
@@ -100,7 +106,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> dic
         "place": place,
         "low": low,
         "high": high,
-        "hasher": hasher,
+        "hashers": (hasher, other),
     }
 
 
@@ -155,7 +161,7 @@ def blocks_of_anchors(
             a = anchors(data, bounds, length, gram)
             if not len(a["text"]):
                 continue
-            hasher, text = a.pop("hasher"), a.pop("text")
+            (hasher, other), text = a.pop("hashers"), a.pop("text")
             begin = bounds[text] - offset
             if crowded is not None and len(crowded):
                 hit = np.isin(a["gram"], crowded)
@@ -163,10 +169,9 @@ def blocks_of_anchors(
                     n = (a["high"] - a["low"] + 1)[hit]
                     which = np.repeat(np.flatnonzero(hit), n)
                     start = a["low"][which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    whole = hasher.of(start, start + length)
                     single = {
-                        "gram": mixed(whole + np.uint64(1)),
-                        "around": whole,
+                        "gram": mixed(hasher.of(start, start + length) + np.uint64(1)),
+                        "around": other.of(start, start + length),
                         "place": a["place"][which],
                         "low": start,
                         "high": start,

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hierfeat.llm import substrings
@@ -91,3 +92,23 @@ def test_deep_shallow_sorting():
         for i, run in zip(*equal_groups(data, starts, groups, depth)):
             got.setdefault(run, set()).add(int(i))
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("crowded", [None, "all"])
+def test_strings_that_one_hash_confuses_are_told_apart_by_the_other(monkeypatch, crowded):
+    """With one value for all bytes the first hash sees lengths only; as whole strings, and around grams."""
+    monkeypatch.setattr(substrings, "BYTE_VALUE", np.full(256, 3, np.uint64))
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abc ") for _ in range(100)) for _ in range(60)]
+    texts += texts[:20]
+    batch = pa.RecordBatch.from_pydict({"doc": range(80), "row": range(80), "text": texts})
+    grams = None
+    if crowded:
+        (block,) = substrings.blocks_of_anchors(iter([batch]), 100, 24, None)
+        grams = np.unique(block["gram"])
+        assert len(grams) == 1
+    (block,) = substrings.blocks_of_anchors(iter([batch]), 100, 24, grams)
+    assert len(np.unique(block["gram"])) == 1
+    around = dict(zip(block["doc"].tolist(), block["around"].tolist(), strict=True))
+    assert len(around) == 80 and len(set(around.values())) == 60
+    assert all(around[i] == around[i + 60] for i in range(20))
