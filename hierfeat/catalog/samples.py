@@ -81,6 +81,19 @@ def chunked_orders(spark, sf_dir):
     return ordering.assign_chunks(order_rows(spark, sf_dir), CHUNK_ROWS)
 
 
+@query(
+    "chunk_windows",
+    f"""WITH {t.SCORED}, {CHUNKED}, windowed AS (
+  SELECT case_id, chunk, CAST('0x' || substr(md5('45|' || chunk), 1, 8) AS BIGINT)
+         % (SELECT CAST(ceil(max(chunk) / 3.0) AS BIGINT) FROM chunked) AS window_no FROM chunked)
+SELECT case_id, chunk, window_no AS "window",
+       row_number() OVER (ORDER BY window_no, md5('45|' || case_id), case_id) - 1 AS position FROM windowed""",
+)
+def chunk_windows(spark, sf_dir):
+    chunked = chunked_orders(spark, sf_dir).select("case_id", "chunk")
+    return ordering.chunk_window_position(chunked, size=3, seed=42, epoch=3)
+
+
 @query(
     "chunk_sizes",
     f"WITH {t.SCORED}, {CHUNKED} SELECT chunk, count(*) AS n, min(case_id) AS first_id, max(case_id) AS last_id "

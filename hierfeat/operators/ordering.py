@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hierfeat.functions.hashing import hash_hex
+from hierfeat.functions.hashing import hash_hex, hex_word
 from hierfeat.operators import slices
+from hierfeat.session import shuffle_width
 from hierfeat.spec import CASE
 
 
@@ -28,6 +29,40 @@ def epoch_position(df: DataFrame, key: str = CASE, seed: int = 42, epoch: int =
     return slices.row_index(slices.by_hash(hashed, "_hash"), ["_hash", key], name="position").drop("_hash")
 
 
+def chunk_windows(
+    df: DataFrame, chunk: str = "chunk", key: str = CASE, size: int = 8, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """An epoch order in two levels that moves no row: whole chunks go into windows, rows are shuffled inside them.
+
+    ``window`` (from 0) is a hash of the chunk and ``seed + epoch``, so that a window holds ``size`` chunks on average;
+    rows lie where they were read, sorted in their partition by window and hash. A reader that takes window by
+    window sees chunks in a new order each epoch, and the rows of about ``size`` chunks mixed. Chunks
+    without rows may leave a window empty; rows without a chunk have no window and come first.
+    """
+    hashed = _windowed(df, chunk, key, size, seed, epoch)
+    return hashed.sortWithinPartitions("window", "_hash", key).drop("_hash", "_windows")
+
+
+def chunk_window_position(
+    df: DataFrame, chunk: str = "chunk", key: str = CASE, size: int = 8, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """The same order over all windows as a column: ``position`` counts from 0, next to ``window``."""
+    hashed = _windowed(df, chunk, key, size, seed, epoch)
+    place = F.coalesce(F.floor(F.col("window") * shuffle_width(df.sparkSession) / F.col("_windows")), F.lit(0))
+    sliced = hashed.withColumn(slices.SLICE, place.cast("int")).drop("_windows")
+    return slices.row_index(sliced, ["window", "_hash", key], name="position").drop("_hash")
+
+
+def _windowed(df: DataFrame, chunk: str, key: str, size: int, seed: int, epoch: int) -> DataFrame:
+    _positive(size)
+    # A subquery over one column; on stored chunks it reads no data.
+    windows = df.agg(F.ceil((F.max(chunk) - F.min(chunk) + 1) / size).cast("bigint").alias("windows")).scalar()
+    window = F.pmod(hex_word(hash_hex(seed + epoch, F.col(chunk))), F.col("_windows"))
+    return df.withColumn("_windows", windows).withColumns(
+        {"window": window.cast("bigint"), "_hash": hash_hex(seed + epoch, F.col(key))}
+    )
+
+
 def number_rows(df: DataFrame, order: str = CASE, name: str = "row_idx") -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique numeric column."""
     return slices.row_index(slices.by_value(df, order), [order], name=name)

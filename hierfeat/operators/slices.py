@@ -83,8 +83,15 @@ def by_sketch(df: DataFrame, column: str, parts: int | None = None) -> DataFrame
     return known.withColumn(SLICE, F.when(edges.isNull(), F.lit(0)).otherwise(place).cast("int")).drop("_edges", "_heads")
 
 
-def by_hash(df: DataFrame, digits: str, length: int = 3) -> DataFrame:
-    """Add slices along a column of hash hex digits; uniform, so no edges are needed."""
+def by_hash(df: DataFrame, digits: str, length: int | None = None) -> DataFrame:
+    """Add slices along a column of hash hex digits; uniform, so no edges are needed.
+
+    As many digits decide as it takes to make a slice for every shuffle partition, if ``length`` is not given.
+    """
+    if length is None:
+        length = 1
+        while 16**length < shuffle_width(df.sparkSession):
+            length += 1
     return df.withColumn(SLICE, hex_word(F.col(digits), 1, length).cast("int"))
 
 

@@ -145,3 +145,27 @@ def test_a_column_of_the_own_name_is_not_lost(spark):
     text = spark.createDataFrame([("a",), ("b",)], "case_id string")
     with pytest.raises(TypeError, match="numeric"):
         ordering.assign_chunks(text, 1)
+
+
+def test_chunk_windows_move_no_row(spark, tmp_path):
+    """Chunks stay whole, windows hold several, rows in them are mixed, and the plan shuffles nothing."""
+    rows = spark.range(4000).selectExpr("id AS case_id", "id div 100 + 1 AS chunk")
+    rows.repartition(4).write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    first, again, other = (ordering.chunk_windows(stored, size=5, epoch=e) for e in (0, 0, 1))
+    got = first.collect()
+    assert got == again.collect() and sorted(r.case_id for r in got) == list(range(4000))
+    windows = {}
+    for r in got:
+        windows.setdefault(r.chunk, set()).add(r.window)
+    assert all(len(w) == 1 for w in windows.values()) and {w for s in windows.values() for w in s} <= set(range(8))
+    assert {r.case_id: r.window for r in got} != {r.case_id: r.window for r in other.collect()}
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan and "Sort [window" in plan and ", false" in plan
+    placed = ordering.chunk_window_position(stored, size=5).collect()
+    by_place = [(r.window, r.case_id) for r in sorted(placed, key=lambda r: r.position)]
+    assert [r.position for r in sorted(placed, key=lambda r: r.position)] == list(range(4000))
+    assert [w for w, _ in by_place] == sorted(w for w, _ in by_place)
+    inside = [c for w, c in by_place if w == by_place[0][0]]
+    assert inside != sorted(inside)
+    assert ordering.chunk_windows(stored.limit(0)).count() == 0
