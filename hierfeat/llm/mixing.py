@@ -3,7 +3,9 @@
 Every source is a stream of words, its documents in a pseudo-random order, cut into blocks of
 equal word count. Slot ``k`` of the mix takes the point ``frac(k * golden ratio)``; cumulative
 weights map it to a source, and the rank of the slot among those of its source says which
-block it takes. All of it is DataFrame operations.
+block it takes: so many blocks from the start of the stream as the source has slots, in
+shuffled order. A document stands in the mix where the block it begins in stands. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,21 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hierfeat.llm.shared import fresh, stored
-from hierfeat.operators.slices import SLICE, row_index, running_totals
+from hierfeat.operators.slices import SLICE, by_sketch, row_index, running_totals
 from hierfeat.session import shuffle_width
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_TIMES = 2
+TIMES = ("first", "second")
 #: Words of a block; a source is cut into ``LEAST_BLOCKS`` at least, as far as it has words.
 BLOCK = 64
 LEAST_BLOCKS = 64
 # 2**31 divided by the golden ratio, made odd: multiples of it modulo 2**31 visit every cell
 # once, each new one in the largest gap left.
 GOLDEN, CELLS = 1_327_217_885, 2**31
-#: The unit interval is cut into so many steps for the join of points and sources.
-STEPS = 2**14
+#: The unit interval is cut into so many steps for each source, and ``LEAST_STEPS`` at least, for the join of points and sources.
+STEPS, LEAST_STEPS = 4, 2**14
+#: Draws are added up as whole numbers of this fraction of a block, so their sums are the same in any order.
+FRACTION = 2**16
 
 
 def sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -38,6 +43,16 @@ def sizes(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"))
 
 
+def named_sources(sized: DataFrame) -> DataFrame:
+    """Every source with its size and its number: by code point, null last.
+
+    Partitions that follow the names are the slices; writing them fixes where they were cut.
+    """
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("unnamed", F.col("source").isNull())
+    cut = by_source.repartitionByRange(shuffle_width(sized.sparkSession), "unnamed", "source").withColumn(SLICE, F.spark_partition_id())
+    return row_index(stored(cut, "source-names"), ["unnamed", "source"], name="number").drop("unnamed")
+
+
 def targets(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
     """One row per source: its number, size, target, block size, blocks and span of the unit interval.
 
@@ -45,79 +60,99 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float, most: int)
     more than ``most`` times its size gets that; the others share the rest by weight. With the
     sources in order of size by weight this is a running total: a source is full if the targets
     already exceed the sum when all of larger ratio get as much by weight as it can take.
-    Sources are few next to documents; their windows are over one row per source.
+    Running totals go over slices, so there may be as many sources as documents.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    every = Window.partitionBy()
-    ratio = Window.orderBy("ratio").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    width = shuffle_width(sized.sparkSession)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    named = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("number", F.row_number().over(by_name) - 1)
-    weighed = (
-        named.withColumn("weight", F.element_at(cycle, F.col("number") % len(weights) + 1))
+    weighed = stored(
+        named_sources(sized)
+        .withColumn("weight", F.element_at(cycle, (F.col("number") % len(weights) + 1).cast("int")))
         .withColumn("cap", most * F.col("source_size").cast("double"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("wanted", share * F.sum("source_size").over(every))
-        .withColumn("full_below", F.sum("cap").over(ratio))
-        .withColumn("weight_above", F.sum("weight").over(every) - F.sum("weight").over(ratio))
-        .withColumn("full", F.col("full_below") + F.col("ratio") * F.col("weight_above") < F.col("wanted"))
-        .withColumn("left", F.col("wanted") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every))
-        .withColumn("open", F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every))
-        .withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("left") * F.col("weight") / F.col("open")))
-        .withColumn("target", F.least("target", "cap"))
+        .withColumn("ratio", F.col("cap") / F.col("weight")),
+        "source-weights",
+    )
+    total = weighed.agg(F.sum("weight")).scalar()
+    wanted = share * weighed.agg(F.sum("source_size")).scalar()
+    by_ratio = running_totals(
+        by_sketch(weighed, "ratio"), {"full_before": F.col("cap"), "weight_before": F.col("weight")}, ["ratio", "number"]
     )
-    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    above = total - F.col("weight_before") - F.col("weight")
+    full = F.col("full_before") + F.col("cap") + F.col("ratio") * above < wanted
+    judged = stored(by_ratio.withColumn("full", full), "source-full")
+    left = wanted - judged.agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0))).scalar()
+    open_ = judged.agg(F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight")))).scalar()
+    target = F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("weight") / open_)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.ceil(F.col("source_size") / LEAST_BLOCKS))).cast("bigint")
-    return (
-        weighed.withColumn("block", block)
+    # Blocks to take: the last block of a source may be short, so by mean size.
+    draws = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    drawing = stored(
+        judged.withColumn("target", F.least(target, "cap"))
+        .withColumn("block", block)
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("bigint"))
-        # Blocks to take: the last block of a source may be short, so by mean size.
-        .withColumn("draws", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-        .withColumn("low", F.coalesce(F.sum("draws").over(before), F.lit(0.0)))
-        .withColumn("all_draws", F.sum("draws").over(every))
-        .select("number", "source", "source_size", "target", "block", "blocks", "low", (F.col("low") + F.col("draws")).alias("high"), "all_draws")
+        .select("number", "source", "source_size", "target", "block", "blocks", F.round(draws * FRACTION).cast("bigint").alias("draws")),
+        "source-draws",
+    )
+    sources = drawing.agg(F.count(F.lit(1))).scalar()
+    sliced = drawing.withColumn(SLICE, F.floor(F.col("number") * width / sources).cast("int"))
+    summed = running_totals(sliced, {"low": F.col("draws")}, ["number"])
+    return summed.select(
+        "number",
+        "source",
+        "source_size",
+        "target",
+        "block",
+        "blocks",
+        (F.col("low") / FRACTION).alias("low"),
+        ((F.col("low") + F.col("draws")) / FRACTION).alias("high"),
+        (drawing.agg(F.sum("draws")).scalar() / FRACTION).alias("all_draws"),
     )
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """The mix itself: ``slot``, ``number`` of the source, ``rank`` in it, ``block``, ``time`` (0 the first).
+def schedule(sources: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix itself: ``slot``, ``number`` of the source, ``rank`` in it, ``block_no``, ``time`` (0 the first).
 
-    A slot past ``MOST_TIMES`` rounds through its source stays empty and is left out.
+    The slots of a source at one time take the first blocks of its stream, as many as there are slots, in
+    the order of a seeded hash. A slot past ``MOST_TIMES`` rounds through its source stays empty and is left out.
     """
     spark = sources.sparkSession
-    slots = round(sources.agg(F.max("all_draws")).first()[0] or 0.0)
+    most, named = sources.agg(F.max("all_draws"), F.count(F.lit(1))).first()
+    slots, steps = round(most or 0.0), max(LEAST_STEPS, STEPS * named)
     width = shuffle_width(spark)
     point = (F.col("slot") % CELLS * GOLDEN % CELLS + 0.5) / CELLS
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("step", F.floor(F.col("point") * STEPS))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("step", F.floor(F.col("point") * steps))
+    # Neighbours share an end to the last bit, and the last span ends at 1.
     spans = (
         sources.filter("high > low")
         .select("number", "blocks", (F.col("low") / F.col("all_draws")).alias("low"), (F.col("high") / F.col("all_draws")).alias("high"))
-        # The last span ends at 1 whatever the rounding of the sums.
-        .withColumn("high", F.when(F.col("high") >= 1 - 1e-12, F.lit(2.0)).otherwise(F.col("high")))
-        .withColumn("step", F.explode(F.sequence(F.floor(F.col("low") * STEPS), F.least(F.floor(F.col("high") * STEPS), F.lit(STEPS - 1).cast("bigint")))))
+        .withColumn("step", F.explode(F.sequence(F.floor(F.col("low") * steps), F.least(F.floor(F.col("high") * steps), F.lit(steps - 1).cast("bigint")))))
     )
     mapped = points.join(spans, "step").filter("low <= point AND point < high").select("slot", "number", "blocks")
     sliced = mapped.withColumn(SLICE, F.floor(F.col("slot") * width / max(slots, 1)).cast("int"))
-    ranked = row_index(sliced, ["slot"], ["number"], "rank")
-    return ranked.select(
-        "slot",
-        "number",
-        "rank",
-        (F.col("rank") % F.col("blocks")).alias("block_no"),
-        F.floor(F.col("rank") / F.col("blocks")).alias("time"),
-    ).filter(F.col("time") < MOST_TIMES)
+    time, turn = F.floor(F.col("rank") / F.col("blocks")), F.col("rank") % F.col("blocks")
+    ranked = stored(
+        row_index(sliced, ["slot"], ["number"], "rank")
+        .select("slot", "number", "rank", time.alias("time"), turn.alias("turn"))
+        .filter(F.col("time") < MOST_TIMES),
+        "slots",
+    )
+    # The same numbers as blocks of the stream, ranked by hash.
+    blocks = ranked.select("number", "time", F.col("turn").alias("block_no"))
+    hashed = blocks.withColumn("order", F.xxhash64(F.lit(seed), "number", "time", "block_no"))
+    shuffled = row_index(hash_sliced(hashed), ["order", "block_no"], ["number", "time"], "turn").drop("order")
+    return ranked.join(shuffled, ["number", "time", "turn"]).select("slot", "number", "rank", "block_no", "time")
+
+
+def hash_sliced(df: DataFrame) -> DataFrame:
+    """Add slices along ``order``, a 64-bit hash."""
+    bits = max(1, math.ceil(math.log2(shuffle_width(df.sparkSession)))) + 2
+    return df.withColumn(SLICE, F.shiftright("order", 64 - bits).cast("int"))
 
 
 def streams(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Where each document starts in the stream of its source."""
-    spark = sized.sparkSession
-    numbered = sized.join(
-        sources.select(F.col("source").alias("name"), "number", "source_size", "target", "block"),
-        F.col("source").eqNullSafe(F.col("name")),
-    ).drop("name")
-    order = F.xxhash64(F.lit(seed), "key", "size")
-    bits = max(1, math.ceil(math.log2(shuffle_width(spark)))) + 2
-    sliced = numbered.withColumn("order", order).withColumn(SLICE, F.shiftright("order", 64 - bits).cast("int"))
-    return running_totals(sliced, {"start": F.col("size")}, ["order", "key", "size"], ["number"])
+    numbered = sized.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    hashed = numbered.withColumn("order", F.xxhash64(F.lit(seed), "key", "size"))
+    return running_totals(hash_sliced(hashed), {"start": F.col("size")}, ["order", "key", "size"], ["number"])
 
 
 def mixed(
@@ -134,7 +169,9 @@ def mixed(
     One row per row of ``docs``: the key, the source, ``size`` (words of the text), ``source_size``,
     ``target`` (words the source is to give), ``taken`` (words the mix takes, repeats counted),
     ``first`` and ``second`` (how many of them at the first and second time; always the first
-    words of the text). ``taken`` is at most ``MOST_TIMES`` times the size. The sum over a source
+    words of the text), ``first_slot`` and ``second_slot`` (where the document stands in the mix at that
+    time; null if it is not taken), ``start`` (its place in the stream of the source, which orders
+    documents of one slot). ``taken`` is at most ``MOST_TIMES`` times the size. The sum over a source
     comes within a few blocks of its target. The same table gives the same result in any
     partitioning.
 
@@ -144,29 +181,33 @@ def mixed(
     """
     sized = stored(sizes(docs, key, source, text), "sizes")
     sources = stored(targets(sized, weights, share, MOST_TIMES), "sources")
-    placed = stored(streams(sized, sources, seed).withColumn("row", F.monotonically_increasing_id()), "streams")
-    drawn = schedule(sources).groupBy("number", "block_no").agg(F.count(F.lit(1)).alias("times"))
-    low, high = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
-    parts = placed.filter("size > 0").select(
-        "row", "number", "start", "size", "block", F.explode(F.sequence(low, high)).alias("block_no")
-    )
-    begin, end = F.col("block_no") * F.col("block"), (F.col("block_no") + 1) * F.col("block")
-    words = F.least(end, F.col("start") + F.col("size")) - F.greatest(begin, F.col("start"))
-    taken = (
-        parts.join(drawn, ["number", "block_no"])
-        .groupBy("row")
-        .agg(F.sum(words).alias("first"), F.sum(F.when(F.col("times") > 1, words).otherwise(0)).alias("second"))
+    drawn = stored(schedule(sources, seed), "schedule")
+
+    def at(time: int, value: Column) -> Column:
+        return F.when(F.col("time") == time, value)
+
+    rounds = drawn.groupBy("number").agg(*[F.count(at(i, F.lit(1))).alias(f"drawn_{n}") for i, n in enumerate(TIMES)])
+    streamed = sources.join(rounds, "number", "left").select(
+        "number", "source", "source_size", "target", "block", *[F.coalesce(f"drawn_{n}", F.lit(0)).alias(f"drawn_{n}") for n in TIMES]
     )
-    first, second = (F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("first", "second"))
-    return placed.join(taken, "row", "left").select(
+    placed = streams(sized, stored(streamed, "drawn"), seed)
+    # The blocks drawn at one time are the start of the stream, so they hold the first words of a document.
+    amounts = {n: F.greatest(F.lit(0), F.least("size", F.col(f"drawn_{n}") * F.col("block") - F.col("start"))).cast("bigint") for n in TIMES}
+    placed = stored(placed.withColumns(amounts).withColumn("block_no", F.floor(F.col("start") / F.col("block"))), "streams")
+    slots = drawn.groupBy("number", "block_no").agg(*[F.max(at(i, F.col("slot"))).alias(f"{n}_slot") for i, n in enumerate(TIMES)])
+    taken = placed.filter("first > 0").join(slots, ["number", "block_no"])
+    never = placed.filter("first = 0").withColumns({f"{n}_slot": F.lit(None).cast("bigint") for n in TIMES})
+    return taken.unionByName(never).select(
         F.col("key").alias(key),
         F.col("source").alias(source),
         "size",
         "source_size",
         "target",
-        (first + second).alias("taken"),
-        first.alias("first"),
-        second.alias("second"),
+        (F.col("first") + F.col("second")).alias("taken"),
+        *TIMES,
+        "first_slot",
+        F.when(F.col("second") > 0, F.col("second_slot")).alias("second_slot"),
+        "start",
     )
 
 
@@ -177,28 +218,39 @@ def first_words(text: Column, count: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(pieces, 1, (count + blank).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars") -> DataFrame:
+def mixture(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars", slot: str | None = None
+) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for each time a document is taken.
 
-    A document of which the mix takes only the first words is cut there (and ``chars``, if there
-    is such a column, counted again). Nulls, ties and repeated rows as in ``mixed``; repeated
-    rows are matched one to one.
+    Rows come in the order of the schedule: partitions hold successive stretches of slots and are sorted
+    by slot. ``slot`` names a further column for it. A document of which the mix takes only the first words is
+    cut there (and ``chars``, if there is such a column, counted again). Nulls, ties and repeated rows as in
+    ``mixed``; repeated rows are matched one to one.
     """
-    size, place, take = fresh(docs, "size", "place", "take")
+    size, place, take, stretch = fresh(docs, "size", "place", "take", "stretch")
     same = [key, source, size]
 
-    def placed(rows: DataFrame, order: str) -> DataFrame:
-        return rows.withColumn(place, F.row_number().over(Window.partitionBy(*same).orderBy(order)))
+    def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+        return rows.withColumn(place, F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
 
-    amounts = placed(mixed(docs, key, source, text).withColumnRenamed("size", size).filter("taken > 0"), "first")
-    amounts = amounts.select(*[F.col(c).alias("_" + c) for c in [*same, place]], F.array("first", "second").alias(take))
+    found = mixed(docs, key, source, text).withColumnRenamed("size", size).filter("taken > 0")
+    times = [F.struct(F.col(n).alias("words"), F.col(f"{n}_slot").alias("slot"), "start") for n in TIMES]
+    amounts = stored(
+        placed(found, ["first", "start"]).select(*[F.col(c).alias("_" + c) for c in [*same, place]], F.array(*times).alias(take)), "amounts"
+    )
+    last = amounts.agg(F.max(F.array_max(F.transform(take, lambda t: t["slot"])))).first()[0]
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = placed(docs.withColumn(size, words), text)
+    rows = placed(docs.withColumn(size, words), [text])
     # Keys and sources may be null; the sizes and places never are.
     match = [rows[c].eqNullSafe(amounts["_" + c]) for c in (key, source)] + [rows[c] == amounts["_" + c] for c in (size, place)]
-    taken = rows.join(amounts, match).withColumn(take, F.explode(take)).filter(F.col(take) > 0)
-    cut = F.col(take) < F.col(size)
-    change = {text: F.when(cut, first_words(F.col(text), F.col(take))).otherwise(F.col(text))}
+    taken = rows.join(amounts, match).withColumn(take, F.explode(take)).filter(F.col(take)["words"] > 0)
+    cut = F.col(take)["words"] < F.col(size)
+    change = {text: F.when(cut, first_words(F.col(text), F.col(take)["words"])).otherwise(F.col(text))}
     if chars in docs.columns:
         change[chars] = F.when(cut, F.length(change[text]).cast(docs.schema[chars].dataType)).otherwise(F.col(chars))
-    return taken.withColumns(change).select(*docs.columns)
+    width = shuffle_width(docs.sparkSession)
+    taken = taken.withColumns(change).withColumn(stretch, F.floor(F.col(take)["slot"] * width / ((last or 0) + 1)).cast("int"))
+    ordered = taken.select(*docs.columns, take, stretch).repartitionById(width, F.col(stretch))
+    ordered = ordered.sortWithinPartitions(F.col(take)["slot"], F.col(take)["start"])
+    return ordered.select(*docs.columns, *([F.col(take)["slot"].alias(slot)] if slot else []))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -96,3 +97,77 @@ def test_empty_and_wordless(spark, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mixture(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id bigint, text string, source string")
     assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in mixing.mixed(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def brute_mix(docs, seed=0, weights=mixing.WEIGHTS, share=mixing.SHARE):
+    """Times of documents in the mix, slot by slot in plain Python; ``docs`` are rows of key, source, size and place in the stream."""
+    sizes = defaultdict(int)
+    for _, s, n, _ in docs:
+        sizes[s] += n
+    target = brute_targets(sizes, weights, share)
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    block = {s: max(1, min(mixing.BLOCK, -(-sizes[s] // mixing.LEAST_BLOCKS))) for s in names}
+    blocks = {s: -(-sizes[s] // block[s]) for s in names}
+    draws = {s: round(target[s] * blocks[s] / sizes[s] * mixing.FRACTION) if sizes[s] else 0 for s in names}
+    total = sum(draws.values())
+    slots = defaultdict(list)
+    for k in range(round(total / mixing.FRACTION)):
+        point, below = (k % mixing.CELLS * mixing.GOLDEN % mixing.CELLS + 0.5) / mixing.CELLS, 0
+        for s in names:
+            if below / total <= point < (below + draws[s]) / total:
+                slots[s].append(k)
+            below += draws[s]
+    found = {}
+    for key, s, n, start in docs:
+        for time in range(mixing.MOST_TIMES):
+            own = slots[s][time * blocks[s] : (time + 1) * blocks[s]]
+            found[key, time] = (max(0, min(n, len(own) * block[s] - start)), set(own))
+    return found
+
+
+def many_sources(spark, n):
+    draw = random.Random(5)
+    rows = [(i, f"s{draw.randrange(n):03}" if i % 3 else "hot", " ".join(["w"] * draw.choice([0, 1, 7, 40, 300]))) for i in range(6 * n)]
+    return spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+
+
+def test_amounts_and_slots_follow_the_schedule(spark):
+    found = mixing.mixed(many_sources(spark, 60)).collect()
+    want = brute_mix([(r["doc_id"], r["source"], r["size"], r["start"]) for r in found])
+    begins = defaultdict(set)
+    for r in found:
+        assert r["taken"] == r["first"] + r["second"]
+        for time, name in enumerate(mixing.TIMES):
+            words, own = want[r["doc_id"], time]
+            assert r[name] == words
+            assert (r[f"{name}_slot"] in own) if words else r[f"{name}_slot"] is None
+            if words:
+                begins[r["source"], time, r[f"{name}_slot"]].add(r["start"])
+    # Documents of one slot begin in one block; the blocks of a source do not come in the order of its stream.
+    hot = [(slot, min(s)) for (source, time, slot), s in begins.items() if source == "hot" and time == 0]
+    assert all(max(s) - min(s) < mixing.BLOCK for s in begins.values()) and len(hot) > 25
+    order = [start for _, start in sorted(hot)]
+    assert 0.3 < sum(a < b for a, b in zip(order, order[1:])) / (len(order) - 1) < 0.7
+
+
+def test_targets_of_many_sources(spark):
+    docs = many_sources(spark, 700)
+    sizes = defaultdict(int)
+    found = mixing.mixed(docs).collect()
+    for r in found:
+        sizes[r["source"]] += r["size"]
+    target = brute_targets(sizes)
+    assert len(sizes) > 600 and all(r["target"] == pytest.approx(target[r["source"]]) for r in found)
+
+
+def test_the_mix_comes_in_the_order_of_its_slots(spark):
+    rows = [(i, "abc"[i % 3], " ".join(["w"] * 50)) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = mixing.mixture(docs, slot="at").collect()
+    slots = [r["at"] for r in found]
+    assert slots == sorted(slots) and mixing.mixture(docs).columns == docs.columns
+    whole = Counter(r["source"] for r in found)
+    for upto in (300, 900, 1500):
+        part = Counter(r["source"] for r in found[:upto])
+        for s, n in whole.items():
+            assert abs(part[s] - n * upto / len(found)) < 40
