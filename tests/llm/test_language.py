@@ -58,3 +58,68 @@ def test_few_languages(spark):
     assert predict([(1, "abc", "xx"), (3, "1", "xx")]) == [(False, "xx", 1.0), (False, "und", 0.0)]
     two = predict([(1, "aaa aab", "xx"), (3, "zzy zzz", "yy"), (5, "aab", None), (8, "zzy", None)])
     assert [x[1] for x in two] == ["xx", "yy", "xx", "yy"]
+
+
+def plain_buckets(text):
+    """Buckets of the n-grams of a text, one by one."""
+    found, low = [], text.lower()
+    for n in language.LENGTHS:
+        for i in range(len(low) - n + 1):
+            part = low[i : i + n]
+            if any(c.isalpha() for c in part):
+                code = n
+                for c in part:
+                    code = (code * (0x10FFFF + 2) + (ord(c) if c.isalpha() else 0)) % 2**64
+                found.append(int(language.mixed(np.array([code], np.uint64))[0]) % language.BUCKETS)
+    return found
+
+
+def plain_model(taught):
+    """Classifiers and trust of rows of text and language, without matrices."""
+    names = sorted({x for _, x in taught})
+    code, counts = language.codewords(len(names)), {x: Counter() for x in names}
+    for text, x in taught:
+        counts[x].update(plain_buckets(text))
+    size = {x: sum(counts[x].values()) + language.SMOOTHING * language.BUCKETS for x in names}
+    share = {x: {b: (counts[x][b] + language.SMOOTHING) / size[x] for b in range(language.BUCKETS)} for x in names}
+    weights = []
+    for bit in range(code.shape[1]):
+        sides = [[x for i, x in enumerate(names) if code[i, bit] == side] for side in (1, -1)]
+        w = [np.log(np.mean([share[x][b] for x in sides[0]]) / np.mean([share[x][b] for x in sides[1]])) for b in range(language.BUCKETS)]
+        own = [sum(share[x][b] * w[b] for b in range(language.BUCKETS)) * code[i, bit] for i, x in enumerate(names)]
+        scale = max(np.mean([max(v, 0) for v in own]), 1e-9)
+        weights.append([v / scale for v in w])
+
+    def margins(text):
+        found = plain_buckets(text)
+        return [sum(w[b] for b in found) / max(len(found), 1) for w in weights]
+
+    trust = np.full(code.shape, 1e-6)
+    for text, x in taught:
+        if any(c.isalpha() for c in text):
+            i = names.index(x)
+            trust[i] += [m * code[i, bit] > 0 for bit, m in enumerate(margins(text))]
+    return names, code, trust / trust.sum(axis=1, keepdims=True), margins
+
+
+def test_predictions_equal_a_plain_version(spark):
+    texts = {
+        "en": ["the river and the stone", "a quiet garden of light", "paper and window"],
+        "de": ["der Fluss und der Stein", "ein stiller Garten", "Papier und Fenster über"],
+        "fr": ["la rivière et la pierre", "un jardin tranquille", "le papier, la fenêtre"],
+    }
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for x, own in texts.items() for t in own * 3)]
+    rows += [(100, "12 !", "en"), (101, "der garden und the", None), (102, "", "fr"), (103, "É", None)]
+    found = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    taught = [(t, x) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2]
+    names, code, trust, margins = plain_model(taught)
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        m = margins(text)
+        loss = [sum(trust[k, bit] * np.log1p(np.exp(-4 * m[bit] * code[k, bit])) for bit in range(len(m))) for k in range(len(names))]
+        share = np.exp(-2 * (np.array(loss) - min(loss)))
+        share /= share.sum()
+        assert found[i]["lang_pred"] == names[int(share.argmax())]
+        assert found[i]["score"] == pytest.approx(share.max(), rel=1e-6)
