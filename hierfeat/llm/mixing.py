@@ -226,25 +226,23 @@ def mixture(
     Rows come in the order of the schedule: partitions hold successive stretches of slots and are sorted
     by slot. ``slot`` names a further column for it. A document of which the mix takes only the first words is
     cut there (and ``chars``, if there is such a column, counted again). Nulls, ties and repeated rows as in
-    ``mixed``; repeated rows are matched one to one.
+    ``mixed``; repeated rows are matched one to one. Texts are shuffled twice: to meet their amounts, and into the order
+    of the slots.
     """
-    size, place, take, stretch = fresh(docs, "size", "place", "take", "stretch")
+    size, place, take, given, stretch = fresh(docs, "size", "place", "take", "given", "stretch")
     same = [key, source, size]
-
-    def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-        return rows.withColumn(place, F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
-
     found = mixed(docs, key, source, text).withColumnRenamed("size", size).filter("taken > 0")
     times = [F.struct(F.col(n).alias("words"), F.col(f"{n}_slot").alias("slot"), "start") for n in TIMES]
-    amounts = stored(
-        placed(found, ["first", "start"]).select(*[F.col(c).alias("_" + c) for c in [*same, place]], F.array(*times).alias(take)), "amounts"
-    )
+    amounts = stored(found.select(*same, F.array(*times).alias(take)), "amounts")
     last = amounts.agg(F.max(F.array_max(F.transform(take, lambda t: t["slot"])))).first()[0]
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = placed(docs.withColumn(size, words), [text])
-    # Keys and sources may be null; the sizes and places never are.
-    match = [rows[c].eqNullSafe(amounts["_" + c]) for c in (key, source)] + [rows[c] == amounts["_" + c] for c in (size, place)]
-    taken = rows.join(amounts, match).withColumn(take, F.explode(take)).filter(F.col(take)["words"] > 0)
+    # Rows and amounts of the same key, source and size lie together, nulls too; each are numbered, and equal numbers meet.
+    both = docs.withColumn(size, words).unionByName(amounts, allowMissingColumns=True).repartition(*same)
+    first = F.col(take)[0]
+    order = Window.partitionBy(*same, F.col(take).isNull()).orderBy(text, first["words"], first["start"])
+    numbered = both.withColumn(place, F.row_number().over(order))
+    matched = numbered.withColumn(given, F.max(take).over(Window.partitionBy(*same, place)))
+    taken = matched.filter(F.col(take).isNull()).withColumn(take, F.explode(given)).filter(F.col(take)["words"] > 0)
     cut = F.col(take)["words"] < F.col(size)
     change = {text: F.when(cut, first_words(F.col(text), F.col(take)["words"])).otherwise(F.col(text))}
     if chars in docs.columns:

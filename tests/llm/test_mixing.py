@@ -171,3 +171,19 @@ def test_the_mix_comes_in_the_order_of_its_slots(spark):
         part = Counter(r["source"] for r in found[:upto])
         for s, n in whole.items():
             assert abs(part[s] - n * upto / len(found)) < 40
+
+
+def test_texts_of_the_mix_are_shuffled_twice(spark):
+    """Once to meet their amounts, once into the order of the slots; repeated and null keys meet one amount each."""
+    rows = [(i % 40 or None, "ab"[i % 2] if i % 5 else None, " ".join([f"w{i}"] * (i % 3 + 1))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = mixing.mixture(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    words = Counter()
+    for r in mixing.mixed(docs).collect():
+        words[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    cut = Counter((r["doc_id"], r["source"]) for r in found.collect() for _ in WORD.findall(r["text"]))
+    want = Counter()
+    for (d, s, _), n in words.items():
+        want[d, s] += n
+    assert cut == +want
